@@ -2,14 +2,19 @@
 
 In a byte-level BPE vocabulary a space belongs to the word after it, so between two characters that are no white space
 a single space is always a boundary of pre-tokens: the ids of a text are those of its pieces, put together. The
-tokenizers library encodes each piece a worker hasn't met lately; most others are one dictionary look-up.
+tokenizers library encodes each piece a worker hasn't met lately; most others are one dictionary look-up. A piece that
+ends in ASCII punctuation after a Latin letter or digit, perhaps with a line break and a next word, is put together
+from its parts in the same way: their borders are boundaries of pre-tokens too.
 """
 
 from __future__ import annotations
 
+import re
 import sys
+from array import array
 
-import numpy as np
+#: word, punctuation (no apostrophe, which starts contractions), and what follows a single line break.
+_PARTS = re.compile(r"(\S*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-`{-~]+)(?:\n([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]\S*))?", re.ASCII)
 
 
 class PieceEncoder:
@@ -27,14 +32,51 @@ class PieceEncoder:
         self.keep, self.longest = keep, longest
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}  # marks and first words of lines, without a space before them
+        (self.newline,) = self._encode(["\n"])
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(parts), 2000):
-            out += [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(parts[i : i + 2000], add_special_tokens=False)]
+            out += [array("H", e.ids).tobytes() for e in self.tok.encode_batch_fast(parts[i : i + 2000], add_special_tokens=False)]
         return out
 
+    def _remember(self, words: list[str]) -> dict[str, bytes]:
+        """Encode plain pieces after a space; returns those that are too long for the memo."""
+        made: list[tuple[str, str, str, str | None]] = []
+        whole: list[str] = []
+        raw: set[str] = set()
+        for w in words:
+            if m := _PARTS.fullmatch(w):
+                stem, marks, rest = m.groups()
+                made.append((w, stem, marks, rest))
+                raw.add(marks)
+                if rest:
+                    raw.add(rest)
+                if stem not in self.new:
+                    if (b := self.old.get(stem)) is not None:
+                        self.new[stem] = b
+                    else:
+                        whole.append(stem)
+            else:
+                whole.append(w)
+        whole = list(dict.fromkeys(whole))
+        rare = {}
+        for w, b in zip(whole, self._encode([" " + w for w in whole]), strict=True):
+            (self.new if len(w) <= self.longest else rare)[w] = b
+        lines = [x for x in raw if x not in self.raw]
+        if len(self.raw) > self.keep // 4:
+            self.raw.clear()
+            lines = list(raw)
+        self.raw.update(zip(lines, self._encode(lines), strict=True))
+        for w, stem, marks, rest in made:
+            b = (self.new[stem] if stem in self.new else rare[stem]) + self.raw[marks]
+            if rest:
+                b += self.newline + self.raw[rest]
+            (self.new if len(w) <= self.longest else rare)[w] = b
+        return rare
+
     def _plain(self, piece: str) -> bool:
         """Both ends are no white space, so the spaces around it are boundaries."""
         return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
@@ -51,7 +93,7 @@ class PieceEncoder:
             split.append((k, text.split(" ")))
         wanted = set().union(*(p[1:] for _, p in split)) if split else set()
         wanted.difference_update(self.new)
-        fresh, rare, odd = [], {}, set()
+        fresh, odd = [], set()
         for w in wanted:
             if (b := self.old.get(w)) is not None:
                 self.new[w] = b
@@ -59,11 +101,7 @@ class PieceEncoder:
                 odd.add(w)
             else:
                 fresh.append(w)
-        for w, b in zip(fresh, self._encode([" " + w for w in fresh]), strict=True):
-            if len(w) <= self.longest:
-                self.new[w] = b
-            else:
-                rare[w] = b
+        rare = self._remember(fresh)
         heads = {p[0] for _, p in split if self._plain(p[0])}
         first = dict(zip(heads, self._encode(list(heads)), strict=True))
         loose: list[tuple[int, list]] = []  # texts with runs of spaces: pieces, and stretches that are encoded as they are

@@ -102,3 +102,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 def chunks(items: list, size: int) -> Iterable[list]:
     for i in range(0, len(items), size):
         yield items[i : i + size]
+
+
+#: join_small() sends the smaller side to all executors only up to this many (short) rows.
+SMALL_ROWS = 50_000
+
+
+def join_small(rows: DataFrame, groups: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """Inner equi-join of many ``rows`` with a table of one row per group, counted first. Up to SMALL_ROWS groups it is
+    broadcast; beyond, both sides are salted, so that a group with a third of all rows is dealt over many tasks."""
+    if groups.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(groups), keys)
+    left = rows.withColumn("_salt", F.floor(F.rand(17) * salts).cast("int"))
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``value`` evaluated once; without it a lambda may evaluate it again for each element."""
+    return F.transform(F.array(value), body)[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_codec, token_counts
+from . import mixing, packing, quality, simhash, token_codec, token_counts, url_rules
 from .common import ship, table
 
 
@@ -34,5 +34,28 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_codec, op2_best_fit_packing, op3_simhash, op4_token_counts)}
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), (1, 2, 3), 3).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+RULES = [
+    url_rules.Rule("com", "/en/", "block"),
+    url_rules.Rule("example.com", "/en/7", "allow"),
+    url_rules.Rule("net", "/de/", "allow"),
+    url_rules.Rule("example.net", "/de/8", "block"),
+    url_rules.Rule("org", "/es/", "block"),
+]
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return url_rules.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_codec, op2_best_fit_packing, op3_simhash, op4_token_counts, op6_source_mixing, op8_url_rules, op9_quality)}
 SQL: dict[str, str] = {}
