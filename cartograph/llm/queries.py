@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, token_codec, token_counts, url_rules
+from . import html_text, mixing, packing, pii, quality, simhash, syncmers, token_codec, token_counts, url_rules
 from .common import ship, table
 
 
@@ -34,10 +34,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
 
 
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), (1, 2, 3), 3).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 RULES = [
     url_rules.Rule("com", "/en/", "block"),
     url_rules.Rule("example.com", "/en/7", "allow"),
@@ -57,5 +66,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_codec, op2_best_fit_packing, op3_simhash, op4_token_counts, op6_source_mixing, op8_url_rules, op9_quality)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    n = [pii.count_kind(F.col("base"), k).alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    return found.select("doc_id", *n, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_codec, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_syncmers, op6_source_mixing, op7_html_text, op8_url_rules, op9_quality, op10_pii)}
 SQL: dict[str, str] = {}
