@@ -102,17 +102,23 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _linked(run: np.ndarray, ids: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the rows of equal ``run`` (sorted) whose bits ``x`` (rows of u64) differ in at most ``bits``, as stars."""
+def _linked(run: np.ndarray, ids: np.ndarray, x: np.ndarray, bits: int, unsure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure) between the rows of equal ``run`` (sorted): those whose bits ``x`` (rows of u64) differ in at most
+    ``bits``, as stars, and of the pairs beyond that, up to ``unsure``, the nearest of each row to each star."""
     n = len(run)
     end = np.searchsorted(run, run, side="right")
     ua, ub, held = [], [], 0
+    fuzzy: list[np.ndarray] = []
     at, s = np.arange(n), 1
     while True:
         at = at[at + s < end[at]]
         if not len(at):
             break
-        near = at[np.bitwise_count(x[at] ^ x[at + s]).sum(axis=1, dtype=np.int32) <= bits]
+        d = np.bitwise_count(x[at] ^ x[at + s]).sum(axis=1, dtype=np.int32)
+        if unsure > bits:
+            some = np.flatnonzero((d > bits) & (d <= unsure))
+            fuzzy.append(np.stack([ids[at[some]], ids[at[some] + s], d[some]]))
+        near = at[d <= bits]
         ua.append(ids[near])
         ub.append(ids[near + s])
         held += len(near)
@@ -120,9 +126,21 @@ def _linked(run: np.ndarray, ids: np.ndarray, x: np.ndarray, bits: int) -> tuple
             a, b = _stars(np.concatenate(ua), np.concatenate(ub))
             ua, ub, held = [a], [b], len(a)
         s += 1
-    if not held:
-        return ids[:0], ids[:0]
-    return _stars(np.concatenate(ua), np.concatenate(ub))
+    a, b = _stars(np.concatenate(ua), np.concatenate(ub)) if held else (ids[:0], ids[:0])
+    sure = np.ones(len(a), bool)
+    if fuzzy and sum(f.shape[1] for f in fuzzy):
+        f = np.concatenate(fuzzy, axis=1)
+        f = np.concatenate([f, f[[1, 0, 2]]], axis=1)
+        star = f[1].copy()
+        if len(a):
+            order = np.argsort(a)
+            k = np.minimum(np.searchsorted(a[order], f[1]), len(a) - 1)
+            star = np.where(a[order][k] == f[1], b[order][k], f[1])
+        order = np.lexsort((f[1], f[2], star, f[0]))
+        f, star = f[:, order], star[order]
+        f = f[:, np.concatenate([[True], (f[0, 1:] != f[0, :-1]) | (star[1:] != star[:-1])])]
+        a, b, sure = np.concatenate([a, f[0]]), np.concatenate([b, f[1]]), np.concatenate([sure, np.zeros(f.shape[1], bool)])
+    return a, b, sure
 
 
 def links(distinct: DataFrame, bits: int) -> DataFrame:
@@ -130,11 +148,12 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
     key by key. ``distinct`` should be materialized."""
     ms = masks(max(2, distinct.count()), bits)
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(ms)])).alias("k")).select("fp", "k.c", "k.key")
-    return compare(keyed, distinct.select("fp", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits")), bits)
+    return compare(keyed, distinct.select("fp", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits")), bits).select("a", "b")
 
 
-def compare(keyed: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
-    """(a, b): stars over fp that join what lies within ``bits`` bits under a common key.
+def compare(keyed: DataFrame, prints: DataFrame, bits: int, unsure: int = -1) -> DataFrame:
+    """(a, b, sure): stars over fp that join what lies within ``bits`` bits under a common key; pairs that are not sure
+    lie beyond, up to ``unsure``.
 
     ``keyed``: fp, c, key; ``prints``: fp and its bits as bytes, a multiple of 8.
     """
@@ -151,8 +170,8 @@ def compare(keyed: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
 
         def emit(cols: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             new = np.concatenate([[True], (cols[:4, 1:] != cols[:4, :-1]).any(axis=0)]) if cols.shape[1] else np.zeros(0, bool)
-            a, b = _linked(np.cumsum(new), np.ascontiguousarray(cols[4]), x, bits)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a, b, sure = _linked(np.cumsum(new), np.ascontiguousarray(cols[4]), x, bits, unsure)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], ["a", "b", "sure"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -169,7 +188,7 @@ def compare(keyed: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
         if held:
             yield emit(*held[0])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, sure boolean")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, id_col: st
 
 # Similarity of 0.8 and less: long fingerprints
 
-#: Bits compared in verification; the standard error of the similarity is then 0.02.
+#: Bits compared for candidates. Pairs far inside the similarity are linked by them, pairs about it by their shingles.
 CHECKED = 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,12 +235,13 @@ def blocks_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id and component_id over texts whose shingles are ``similarity`` alike or more.
 
     At 0.8, a tenth to a sixth of the bits differ, too many for blocks that catch all of them, so the fingerprint is
     long and has as many blocks as the wanted recall at the threshold takes (more similar pairs are caught more surely:
-    0.995 at 0.85 for 0.95 at 0.8). Candidates are verified by Hamming distance over CHECKED bits.
+    0.998 at 0.85 for 0.98 at 0.8). Candidates are verified by Hamming distance over CHECKED bits: three standard errors
+    inside the threshold they are linked; about it, the shingles of the nearest pair of each fingerprint and star decide.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     bits, count = blocks_for(docs.count(), similarity, recall)
@@ -248,8 +268,24 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
                 )
 
     keyed = firsts.select("fp", "wide").mapInArrow(keys, "fp long, c int, key long")
-    limit = round(CHECKED * differing(similarity - 0.015))
-    found = compare(keyed, firsts.select("fp", F.substring("wide", 1, CHECKED // 8).alias("bits")), limit)
-    comp = connected_components(found)
+    far = differing(similarity)
+    error = math.sqrt(CHECKED * far * (1 - far))
+    found = compare(keyed, firsts.select("fp", F.substring("wide", 1, CHECKED // 8).alias("bits")), math.floor(CHECKED * far - 3 * error), math.ceil(CHECKED * far + 2.5 * error))
+    found = materialize(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure")))
+    sure = found.where("sure").select("a", "b")
+    comp = materialize(connected_components(sure))
+    open_ = found.where("not sure").join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    open_ = open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (set(shingle_hashes(batch.column(c)[k].as_py(), shingle).tolist()) for c in (2, 3))
+                if len(x & y) >= similarity * len(x | y):
+                    yield batch.slice(k, 1).select(["a", "b"])
+
+    pairs = open_.join(d.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    more = pairs.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
+    comp = connected_components(sure.union(more))
     whole = firsts.join(comp, firsts["fp"] == comp["node"], "left").select("wide", F.coalesce("component", "fp").alias("component_id"))
     return fps.join(whole, "wide").select("doc_id", "component_id")
