@@ -34,7 +34,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 CREDENTIALS = ("token", "secret", "password", "passwd", "pwd", "api", "key", "bearer", "auth", "credential", "account", "konto", "iban", "ssn", "passport", "licence", "license", "contraseña", "passwort", "clave", "jeton")
 VOTERS = 5
 CONTEXT = 32
-SPAN = "struct<start:int,stop:int,kind:int>"
+SPAN = "struct<start:int,kind:int,stop:int>"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -66,13 +66,13 @@ def _small(part: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, stop, kind>> of the base kinds, ordered by start, then kind."""
+    """array<struct<start, kind, stop>> of the base kinds, ordered by start, then kind."""
     none = F.array().cast(f"array<{SPAN}>")
 
     def of(kind: int, pattern: str, gate: Column, good=None) -> Column:
         found = located(text, pattern)
         found = F.filter(found, lambda s: good(s["m"])) if good else found
-        return F.when(gate, F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(kind).alias("kind")))).otherwise(none)
+        return F.when(gate, F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))).otherwise(none)
 
     digits = lambda lo, hi: lambda m: let(F.length(_digits(m)), lambda n: (n >= lo) & (n <= hi))
     return F.array_sort(F.concat(
@@ -154,14 +154,14 @@ def train(counts: dict[int, int]) -> dict[int, bool]:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, base and spans (array<struct<start, stop, kind>>, in order), and the kept columns."""
+    """Per row of ``docs``: doc_id, base and spans (array<struct<start, kind, stop>>, in order), and the kept columns."""
     text = F.coalesce(F.col("_t"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), *keep)
     d = d.withColumn("base", base_spans(text)).withColumn("cand", candidates(text, F.col("base"))).drop("_t")
     d = materialize(d)
     counts = {r["p"]: r["n"] for r in d.select(F.explode("cand.pattern").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}  # <= 2^9 rows
     good = [p for p, yes in train(counts).items() if yes]
-    more = F.transform(F.filter("cand", lambda c: c["pattern"].isin(good) if good else F.lit(False)), lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.lit(4).alias("kind")))
+    more = F.transform(F.filter("cand", lambda c: c["pattern"].isin(good) if good else F.lit(False)), lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("kind"), c["stop"].alias("stop")))
     return d.withColumn("spans", F.array_sort(F.concat("base", more))).drop("cand")
 
 

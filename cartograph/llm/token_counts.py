@@ -91,12 +91,25 @@ def distinct_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return materialize(pairs.mapInArrow(count, "pre string, freq long, n long"))
 
 
+def frequent(counts: DataFrame, head: int) -> dict[str, int]:
+    """Counts of the most frequent short pre-tokens, ``head`` at most: a histogram of rounded log frequencies (a few
+    hundred rows) tells from which frequency on they are few enough."""
+    short = counts.where(F.length("pre") <= HEAD_CHARS).withColumn("level", F.floor(F.log2("freq") * 16).cast("int"))
+    levels = sorted(((r["level"], r["k"]) for r in short.groupBy("level").agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, total = None, 0
+    for level, k in levels:
+        total += k
+        if total > head:
+            break
+        least = level
+    return {} if least is None else {r["pre"]: r["n"] for r in short.where(F.col("level") >= least).select("pre", "n").collect()}
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     counts = distinct_counts(docs, tokenizer)
-    top = counts.where(F.length("pre") <= HEAD_CHARS).orderBy(F.desc("freq"), "pre").limit(head).select("pre", "n").collect()
-    known = docs.sparkSession.sparkContext.broadcast({r["pre"]: r["n"] for r in top})
+    known = docs.sparkSession.sparkContext.broadcast(frequent(counts, head))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
