@@ -79,11 +79,12 @@ def number_variant(t: Column) -> Column:
 
 def ngrams(words: Column, joiner: str = "_") -> Column:
     """Unigrams, bigrams, trigrams and all words, joined, without repeats."""
-    grams = [words]
-    for n in (2, 3):
+
+    def of(n: int) -> Column:
         at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), joiner)))
-    return F.array_distinct(F.concat(*grams, F.array(F.array_join(words, joiner))))
+        return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), joiner))
+
+    return F.array_distinct(F.concat(words, of(2), of(3), F.array(F.array_join(words, joiner))))
 
 
 def fold(text: str) -> str:

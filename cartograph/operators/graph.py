@@ -85,7 +85,7 @@ def expand_fk(seeds: DataFrame, edges: DataFrame, tables: DataFrame, k: int) ->
     near = near.join(tables, "table").join(F.broadcast(area), F.lit(True), "left")  # area is one row
     score = utility() + F.when(F.col("area") == F.col("first_area"), 0.2).otherwise(0.0)
     rows = first.select("table", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), "pos").unionByName(near.select("table", score.alias("score"), F.lit(1).alias("rank"), F.lit(0).alias("pos")))
-    return rows.orderBy("rank", "pos", F.desc("score"), "table").limit(k).select("table", "score")
+    return rows.orderBy("rank", "pos", F.desc(F.round("score", 9)), "table").limit(k).select("table", "score")
 
 
 def _leg_penalty() -> Column:

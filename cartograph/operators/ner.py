@@ -77,8 +77,7 @@ class Gazetteer:
 
     def analyze(self, text: str) -> list[Entity]:
         """Entities of one text: gazetteer n-grams, money symbols, patterns; one of each label and canonical form."""
-        words = [w for w in re.split(r"[^\w/]+", text) if w]
-        parts = [fold(w) for w in words]
+        parts = [p for p in fold(text).split("_") if p]
         grams = dict.fromkeys([*parts, *("_".join(parts[i : i + n]) for n in (2, 3) for i in range(len(parts) - n + 1)), fold(text)])
         out = [Entity(label, g, -1, -1, self.terms[label, g], 0.9, "gazetteer") for g in grams for label in ("COUNTRY", "SUBDIVISION", "CURRENCY", "TIMEZONE") if (label, g) in self.terms]
         out += [Entity("CURRENCY", s, text.find(s), text.find(s) + 1, c, 0.6, "symbol") for s, c in SYMBOLS.items() if s in text]
