@@ -5,8 +5,8 @@ source, minimise ``sum r log r - r + 1`` subject to ``sum r * size = target`` an
 per source; its solution tilts rates exponentially by size, ``r = min(cap, exp(lambda * size / mean size))``. Newton
 steps on all sources at once, each safeguarded by a bracket, need one aggregate over the documents per round: sums for
 gradient and curvature, pre-aggregated before the shuffle. Rates are then rounded into copies systematically along a
-fixed pseudo-random order, and two small correcting passes bring the taken tokens to the target, within (source, salt),
-so that a source with a third of all rows is dealt over many tasks.
+fixed pseudo-random order, and two small correcting passes bring the taken tokens to the target, within (source, salt):
+a source has one salt for each so many documents, so one with a third of all rows is dealt over many tasks.
 
 Cases: a null or empty text has size 0 and is taken once at no cost; a null source is a source of its own, last in
 order; an empty table gives no rows; repeated rows are mixed row by row; other columns are not read.
@@ -51,8 +51,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float
 
 def rates(docs: DataFrame, goals: DataFrame, cap: float = 3.0, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
     """Adds lambda and mean to ``goals`` (KEY, source_size, target) by safeguarded Newton steps on the dual."""
-    state = docs.groupBy(KEY).agg(F.avg("size").alias("mean")).join(goals, KEY).withColumn("mean", F.greatest("mean", F.lit(1e-9)))
-    state = materialize(state.select(KEY, "mean", "target", "source_size", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("lo"), F.lit(60.0).alias("hi"), F.lit(False).alias("done")), partitions=1)
+    state = docs.groupBy(KEY).agg(F.avg("size").alias("mean"), F.count("*").alias("n_docs")).join(goals, KEY).withColumn("mean", F.greatest("mean", F.lit(1e-9)))
+    state = materialize(state.select(KEY, "mean", "n_docs", "target", "source_size", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("lo"), F.lit(60.0).alias("hi"), F.lit(False).alias("done")), partitions=1)
     log_cap = math.log(cap)
     for _ in range(rounds):
         x = F.col("size") / F.col("mean")
@@ -69,13 +69,13 @@ def rates(docs: DataFrame, goals: DataFrame, cap: float = 3.0, rounds: int = 40,
         middle = (F.col("lo") + F.col("hi")) / 2
         at = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise(middle)
         close = F.col("done") | F.col("over").isNull() | (F.abs("over") <= tolerance * F.greatest(goal, F.lit(1.0))) | (F.col("hi") - F.col("lo") < 1e-9)
-        state = materialize(s.select(KEY, "mean", "target", "source_size", F.when(close, F.col("lam")).otherwise(at).alias("lam"), "lo", "hi", close.alias("done")), partitions=1)
+        state = materialize(s.select(KEY, "mean", "n_docs", "target", "source_size", F.when(close, F.col("lam")).otherwise(at).alias("lam"), "lo", "hi", close.alias("done")), partitions=1)
         if state.where(~F.col("done")).isEmpty():
             break
     return state
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_salt: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_salt: int = 2_000) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target, rate, copies, taken (copies times size)."""
     rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), keyed(F.col(source_col).cast("string")).alias(KEY), n_words(F.col(text_col)).alias("size")))
     sizes = rows.groupBy(KEY).agg(F.sum("size").alias("source_size"))
@@ -84,12 +84,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, i
 
 
 def copies(rows: DataFrame, state: DataFrame, cap: int, rows_per_salt: int) -> DataFrame:
-    n = rows.count()
-    salts = max(1, n // rows_per_salt)
     full = F.col("target") >= F.lit(cap) * F.col("source_size")
     rate = F.when(full, F.lit(float(cap))).otherwise(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap)))))
-    r = join_small(rows, state.select(KEY, "mean", "lam", "target", "source_size"), [KEY]).withColumn("rate", F.least(rate, F.lit(float(cap))))
-    r = r.withColumn("u", F.xxhash64("doc_id", "size")).withColumn("salt", F.pmod("u", F.lit(salts)))
+    r = join_small(rows, state.select(KEY, "mean", "n_docs", "lam", "target", "source_size"), [KEY]).withColumn("rate", F.least(rate, F.lit(float(cap))))
+    r = r.withColumn("u", F.xxhash64("doc_id", "size")).withColumn("salt", F.pmod("u", F.ceil(F.col("n_docs") / rows_per_salt)))
     part = [KEY, "salt"]
     along = Window.partitionBy(*part).orderBy("u", "doc_id", "size")
     so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
