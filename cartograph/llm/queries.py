@@ -73,4 +73,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_codec, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_syncmers, op6_source_mixing, op7_html_text, op8_url_rules, op9_quality, op10_pii)}
-SQL: dict[str, str] = {}
+#: Only the URL rules can be written in SQL; tests hold the other queries against the libraries or a brute-force version.
+SQL: dict[str, str] = {
+    "op8_url_rules": """
+    WITH rules(h, p, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+    parts AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    fits AS (SELECT x.*, r.h || r.p AS rule, r.verdict AS v, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC) AS k
+        FROM parts x LEFT JOIN rules r ON (x.host = r.h OR suffix(x.host, '.' || r.h)) AND starts_with(x.path, r.p))
+    SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE k = 1
+    """
+}

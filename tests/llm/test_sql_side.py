@@ -114,10 +114,10 @@ def test_edited_texts(which, request):
 @pytest.mark.parametrize("bucket", [1, 7, 5000])
 def test_next_document_for_any_bucket(spark, bucket):
     ids = random.Random(bucket).sample(range(10**9), 60)
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").withColumn("fp", F.array(F.col("doc_id")))
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
     ids.sort(reverse=True)
     want = {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
-    assert {r.doc_id: r.next_text for r in syncmers.with_next(df, bucket).collect()} == want
+    assert {r.doc_id: r.next_text for r in syncmers.with_next(df, F.length, bucket).collect()} == want
 
 
 def test_likeness(spark):

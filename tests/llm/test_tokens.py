@@ -55,6 +55,18 @@ def test_frame_round_trip_and_damage(n):
         token_codec.read_frame(b"nope" + frame[4:])
 
 
+def test_sure_predictions_that_fail():
+    """Weights at their bounds: long repeats, then each kind of surprise."""
+    rng = np.random.default_rng(3)
+    cycle = np.tile(np.array([5, 6, 7, 8], np.uint16), 3000)
+    for k in range(30):
+        ids = cycle.copy()
+        at = rng.integers(100, len(ids), 40)
+        ids[at] = rng.choice([5, 6, 7, 8, 9, 50_000], 40)
+        _, docs = token_codec.read_frame(token_codec.write_frame([(k, ids)], 0))
+        assert np.array_equal(docs[0][1], ids)
+
+
 def test_frames_compress():
     ids = np.tile(np.arange(100, dtype=np.uint16), 400)
     assert len(token_codec.write_frame([(1, ids)], 0)) < len(ids) / 4
