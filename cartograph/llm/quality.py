@@ -27,8 +27,9 @@ LEAST = 50
 SUPPORT = 0.75
 STEPS = 4
 STATS = ("v0", "v1", "v2", "v3", "v4")
-#: Standard deviation of noise in each coordinate: log words, log word length, symbols, repeated lines, repeated words.
-FLOOR = (0.25, 0.05, 0.01, 0.05, 0.08)
+#: Standard deviation of noise in each coordinate: log words, log word length, roots of the shares of symbols, repeated
+#: lines and repeated words. One repeated line in a short document is no outlier.
+FLOOR = (0.25, 0.05, 0.02, 0.15, 0.2)
 
 
 def _gamma_p(a: float, x: float) -> float:

@@ -12,6 +12,7 @@ TRICKY = [
     (6, "a  b   c ▁x▁\n\n<|endoftext|> </s>  ", "fr", "a", 1, "z"),
     (7, "word " * 9000, "fr", "a", 1, "z"),
     (8, "w" * 6000, "fr", "", 1, "z"),
+    (None, "no id at all", "es", "c", 1, "z"),
     (9, "CafÉ \U0001f600 été 　wide", "es", "c", 1, "z"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length string"
