@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +77,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null").distinct()
     )
+    mark = _signature(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -88,20 +88,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small_low.select("u", F.col("m").alias("v"))).distinct()
-        nxt = materialize(small)
-        if nxt.where("u <> v").exceptAll(e.where("u <> v")).isEmpty() and e.where("u <> v").exceptAll(nxt.where("u <> v")).isEmpty():
-            e = nxt
+        e = materialize(small)
+        before, mark = mark, _signature(e)
+        if mark == before:
             break
-        e = nxt
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     e = e.where("u <> v")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def chunks(items: list, size: int) -> Iterable[list]:
-    for i in range(0, len(items), size):
-        yield items[i : i + size]
+def _signature(edges: DataFrame) -> tuple:
+    """Number and sum of 64-bit hashes of the links between different nodes; a round that keeps both changed nothing."""
+    return tuple(edges.where("u <> v").agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what ``materialize`` and the token frames have left in the shared folder, once results are written."""
+    for name in ("tables", "frames"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: join_small() sends the smaller side to all executors only up to this many (short) rows.
