@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, fold_column, ngrams
+from ..shipping import ship
 
 # Patterns of identifiers by label, and money symbols.
 PATTERNS = {
@@ -54,6 +55,7 @@ class Gazetteer:
     given. ``strict_codes`` leaves out two-letter country codes, which collide with words such as id."""
 
     def __init__(self, spark: SparkSession, subdivisions: dict[str, str] | None = None, strict_codes: bool = False):
+        ship(spark)
         jvm = spark._jvm
         english = jvm.java.util.Locale.ENGLISH
         self.spark = spark
