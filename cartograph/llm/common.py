@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word, wherever a contract says so: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,20 +33,6 @@ def materialize(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that they need no installation of their own."""
-    sc = spark.sparkContext
-    if getattr(sc, "_cartograph_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="cartograph-"), "cartograph_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(target)
-    sc._cartograph_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -127,3 +112,6 @@ def join_small(rows: DataFrame, groups: DataFrame, keys: list[str], salts: int =
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``value`` evaluated once; without it a lambda may evaluate it again for each element."""
     return F.transform(F.array(value), body)[0]
+
+
+__all__ = ["SMALL_ROWS", "SPACE", "WORD", "clean", "connected_components", "join_small", "let", "materialize", "n_words", "shared_dir", "ship", "table", "text_or_empty", "words"]

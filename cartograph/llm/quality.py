@@ -118,10 +118,10 @@ def _groups(d: DataFrame) -> DataFrame:
     n = d.groupBy("_l", "_s").agg(F.sum(ok).alias("n"))
     pooled = n.withColumn("own", F.col("n") >= LEAST)
     by_lang = pooled.where("not own").groupBy("_l").agg(F.sum("n").alias("n_l"))
-    rest = by_lang.where(f"n_l < {LEAST}").agg(F.coalesce(F.sum("n_l"), F.lit(0)).alias("n_all"))
-    named = pooled.join(by_lang, "_l", "left").crossJoin(F.broadcast(rest)).select(  # rest is one row
+    n_all = by_lang.where(f"n_l < {LEAST}").agg(F.coalesce(F.sum("n_l"), F.lit(0)).alias("n")).first()["n"]
+    named = pooled.join(by_lang, "_l", "left").select(
         "_l", "_s",
-        F.when(F.col("own"), F.concat_ws("/", "_l", "_s")).when(F.col("n_l") >= LEAST, F.col("_l")).when(F.col("n_all") >= LEAST, F.lit("*")).alias("group"),
+        F.when(F.col("own"), F.concat_ws("/", "_l", "_s")).when(F.col("n_l") >= LEAST, F.col("_l")).when(F.lit(n_all >= LEAST), F.lit("*")).alias("group"),
     )
     return join_small(d, materialize(named, partitions=1), ["_l", "_s"]).drop("_l", "_s")
 
