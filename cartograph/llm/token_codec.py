@@ -31,8 +31,9 @@ from . import bpe
 from .common import shared_dir, text_or_empty
 
 MAGIC = b"CGT1"
+NO_ID = -(2**63)  # stands for a null doc_id
 BLOCK = 4096
-FRAME_IDS = 4_000_000
+FRAME_IDS = 8_000_000
 _SLOTS = 12  # bits of a table's index
 _TOP, _BOT, _U = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64
 _S16, _S28, _S48, _M28, _ONE = _U(16), _U(28), _U(48), _U((1 << 28) - 1), _U(1)
@@ -48,7 +49,8 @@ class _Model:
     def __init__(self, lanes: int):
         self.t2 = np.full(lanes << _SLOTS, 0xFFFF, np.uint32)
         self.t1 = np.full(lanes << _SLOTS, 0xFFFF, np.uint32)
-        self.q = np.full((lanes << 5, 2), 1024, np.int32)
+        self.q2 = np.full(lanes << 5, 1024, np.int32)
+        self.q1 = np.full(lanes << 5, 1024, np.int32)
         self.base = np.arange(lanes, dtype=np.uint32) << np.uint32(_SLOTS)
         self.qbase = np.arange(lanes, dtype=np.int32) << 5
         self.a = np.zeros(lanes, np.uint32)  # last id
@@ -58,23 +60,18 @@ class _Model:
         h1 = self.a * np.uint32(2654435761)
         self.i1 = self.base + (h1 >> np.uint32(32 - _SLOTS))
         self.i2 = self.base + ((h1 ^ (self.b * np.uint32(2246822519))) * np.uint32(3266489917) >> np.uint32(32 - _SLOTS))
-        self.e2, self.e1 = self.t2[self.i2], self.t1[self.i1]
+        self.e2, self.e1 = self.t2.take(self.i2), self.t1.take(self.i1)
         self.p2, self.p1 = self.e2 & np.uint32(0xFFFF), self.e1 & np.uint32(0xFFFF)
-        same = self.p1 == self.p2
-        c = ((self.e2 >> np.uint32(16)) << np.uint32(3)) + ((self.e1 >> np.uint32(16)) << np.uint32(1)) + same
+        c = ((self.e2 >> np.uint32(16)) << np.uint32(3)) + ((self.e1 >> np.uint32(16)) << np.uint32(1)) + (self.p1 == self.p2)
         self.iq = self.qbase + c.astype(np.int32)
-        self.w = self.q[self.iq]
-        f0 = self.w[:, 0]
-        f1 = ((4096 - f0) * self.w[:, 1]) >> 12
-        return f0, f1
+        self.w2, self.w1 = self.q2.take(self.iq), self.q1.take(self.iq)
+        # the weights stay within 32 and 4064 of 4096, so that each of the three shares is 1 at least
+        return self.w2, (((4094 - self.w2) * self.w1) >> 12) + 1
 
     def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """q2 learns from each id, q1 from those that p2 misses; a table replaces a prediction when confidence is out."""
-        w = self.w
-        w[:, 0] += ((hit2 * 4096 - w[:, 0]) >> 5) + hit2  # stays within 31..4080
-        w[:, 1] += np.where(hit2, 0, ((hit1 * 4096 - w[:, 1]) >> 5) + hit1)
-        np.clip(w, 32, 4000, out=w)
-        self.q[self.iq] = w
+        self.q2[self.iq] = self.w2 + ((hit2 * 4032 + 32 - self.w2) >> 5)
+        self.q1[self.iq] = self.w1 + (((hit1 * 4032 + 32 - self.w1) >> 5) * ~hit2)
         for t, i, e, hit in ((self.t2, self.i2, self.e2, hit2), (self.t1, self.i1, self.e1, self.p1 == x)):
             sure = e >> np.uint32(16)
             up = e + (np.uint32(1 << 16) * (sure < 3))
@@ -120,8 +117,8 @@ def encode_blocks(ids: np.ndarray, sym: np.ndarray, f: np.ndarray) -> list[np.nd
         hit1 = p1hit & ~hit2
         u0, u1 = f0.astype(np.uint64), f1.astype(np.uint64)
         rest = _U(4096) - u0 - u1
-        start = np.where(hit2, _U(0), np.where(hit1, u0 << _S16, ((u0 + u1) << _S16) + rest * cum[x]))
-        wide = np.where(hit2, u0 << _S16, np.where(hit1, u1 << _S16, rest * freq[x]))
+        start = np.where(hit2, _U(0), np.where(hit1, u0 << _S16, ((u0 + u1) << _S16) + rest * cum.take(x)))
+        wide = np.where(hit2, u0 << _S16, np.where(hit1, u1 << _S16, rest * freq.take(x)))
         r = rng >> _S28
         low += r * start
         rng = r * wide
@@ -180,8 +177,8 @@ def decode_blocks(payloads: list[np.ndarray], sizes: list[int], sym: np.ndarray,
         base = (u0 + u1) << _S16
         other = slot[np.where(hit2 | hit1, _U(0), (v - base) // rest).astype(np.int64) & 0xFFFF]
         x = np.where(hit2, m.p2, np.where(hit1, m.p1, other))
-        start = np.where(hit2, _U(0), np.where(hit1, u0 << _S16, base + rest * cum[x]))
-        wide = np.where(hit2, u0 << _S16, np.where(hit1, u1 << _S16, rest * freq[x]))
+        start = np.where(hit2, _U(0), np.where(hit1, u0 << _S16, base + rest * cum.take(x)))
+        wide = np.where(hit2, u0 << _S16, np.where(hit1, u1 << _S16, rest * freq.take(x)))
         low += r * start
         rng = np.maximum(r * wide, _ONE)
         grid[step] = x
@@ -209,7 +206,7 @@ def write_frame(docs: list[tuple[int, np.ndarray]], start: int) -> bytes:
     """A frame of whole documents (doc_id, ids); ``start`` counts the ids before it in its file."""
     ids = np.concatenate([a for _, a in docs]) if docs else np.zeros(0, np.uint16)
     sym, f = _frequencies(ids)
-    table = np.array([(d, len(a)) for d, a in docs], "<i8").reshape(-1, 2)
+    table = np.array([(NO_ID if d is None else d, len(a)) for d, a in docs], "<i8").reshape(-1, 2)
     head = zlib.compress(struct.pack("<QII", start, len(docs), len(sym)) + table.tobytes() + sym.astype("<u2").tobytes() + (f % 65_536).astype("<u2").tobytes(), 6)
     parts = [MAGIC, struct.pack("<I", len(head)), head, struct.pack("<I", zlib.crc32(head))]
     payloads = encode_blocks(ids, sym, f)
@@ -252,7 +249,7 @@ def read_frame(frame: bytes) -> tuple[int, list[tuple[int, np.ndarray]]]:
             raise CorruptFrame(f"block {k}")
         at += size
     ends = np.cumsum(table[:, 1])
-    return start, [(int(d), ids[e - n : e]) for (d, n), e in zip(table.tolist(), ends.tolist(), strict=True)]
+    return start, [(None if d == NO_ID else d, ids[e - n : e]) for (d, n), e in zip(table.tolist(), ends.tolist(), strict=True)]
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", frame_ids: int = FRAME_IDS) -> None:
@@ -260,7 +257,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
 
     Rows (file int, frame int, ids long, frame_bytes binary): file ascends with the ids, frame within a file. Documents
     are dealt by range of id, so files hold disjoint ranges; equal ids (repeated rows) stay together, ordered by text.
-    A null or empty text is its end id alone. Other columns are not read.
+    A null or empty text is its end id alone; null ids come first. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
