@@ -87,14 +87,14 @@ def likeness(a: Column, b: Column) -> Column:
     return both.cast("double")
 
 
-def with_next(docs: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
-    """Adds next_text and next_fp, those of the next document by descending doc_id, to (doc_id, text, fp); after the
+def with_next(docs: DataFrame, fingerprint=anchors, bucket_rows: int = BUCKET) -> DataFrame:
+    """Adds fp, next_text and next_fp, those of the next document by descending doc_id, to (doc_id, text); after the
     last comes the first. Documents are bucketed by ranges of doc_id that hold ``bucket_rows`` on average, ordered
     within buckets, and each bucket gets a copy of the first row of the next one: texts are shuffled once, and only
     one row per bucket is ordered over all."""
     s = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     if not s["n"]:
-        return docs.withColumn("next_text", F.col("text")).withColumn("next_fp", F.col("fp"))
+        return docs.select("*", fingerprint(F.col("text")).alias("fp"), F.col("text").alias("next_text"), fingerprint(F.col("text")).alias("next_fp"))
     lo, hi = s["lo"] or 0, s["hi"] or 0
     width = max(1, (hi - lo + 1) * bucket_rows // s["n"])
     docs = docs.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - lo) / width).cast("long"), F.lit(-1).cast("long")))
@@ -102,9 +102,9 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
     cyclic = Window.orderBy(F.desc("bucket"))
     ring = tops.select("top", F.coalesce(F.lag("bucket").over(cyclic), F.last("bucket").over(cyclic.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
     ring = materialize(ring, partitions=1)
-    first = docs.join(ring, docs["doc_id"].eqNullSafe(ring["top"])).groupBy("to").agg(F.max(F.struct("text", "fp")).alias("x"))
-    copies = first.select(F.lit(None).cast("long").alias("doc_id"), "x.text", "x.fp", F.col("to").alias("bucket"), F.lit(1).alias("copy"))
-    rows = docs.withColumn("copy", F.lit(0)).unionByName(copies)
+    first = docs.join(ring, docs["doc_id"].eqNullSafe(ring["top"])).groupBy("to").agg(F.max("text").alias("text"))
+    copies = first.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("bucket"), F.lit(1).alias("copy"))
+    rows = docs.withColumn("copy", F.lit(0)).unionByName(copies).withColumn("fp", fingerprint(F.col("text")))
     order = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("text"))
     rows = rows.select("doc_id", "text", "fp", "copy", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp"))
     return rows.where("copy = 0").drop("copy")
@@ -114,7 +114,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The
     edited text has its last half replaced by as much of the next document's start."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = with_next(d.select("doc_id", "text", anchors(F.col("text")).alias("fp")))
+    d = with_next(d)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     d = d.withColumn("n_chars", F.length("text")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next_text", F.lit(1), half)))
     d = d.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", anchors(F.col("edited")).alias("edited_fp"), "next_fp")
