@@ -210,8 +210,9 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def wide_fingerprint(text: str, shingle: int, words: int) -> bytes:
-    """SimHash of ``words`` times 64 bits: each word has its own hashes, mixed from the shingles' XXH64."""
-    h = shingle_hashes(text, shingle).astype(np.uint64)
+    """SimHash of ``words`` times 64 bits over the set of shingles: each word has its own hashes, mixed from the shingles'
+    XXH64. A shingle counts once, so that differing bits estimate the likeness of sets that is asked for."""
+    h = np.unique(shingle_hashes(text, shingle).astype(np.uint64))
     if not len(h):
         return bytes(8 * words)
     z = h[:, None] + _GOLDEN * np.arange(1, words + 1, dtype=np.uint64)
@@ -223,7 +224,7 @@ def wide_fingerprint(text: str, shingle: int, words: int) -> bytes:
 
 
 def differing(similarity: float) -> float:
-    """Expected share of differing bits at a Jaccard similarity of equally long texts."""
+    """Expected share of differing bits at a Jaccard similarity of sets of one size; of unequal ones fewer differ."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
