@@ -102,23 +102,17 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _linked(run: np.ndarray, ids: np.ndarray, x: np.ndarray, bits: int, unsure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, sure) between the rows of equal ``run`` (sorted): those whose bits ``x`` (rows of u64) differ in at most
-    ``bits``, as stars, and of the pairs beyond that, up to ``unsure``, the nearest of each row to each star."""
+def _linked(run: np.ndarray, ids: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the rows of equal ``run`` (sorted) whose bits ``x`` (rows of u64) differ in at most ``bits``, as stars."""
     n = len(run)
     end = np.searchsorted(run, run, side="right")
     ua, ub, held = [], [], 0
-    fuzzy: list[np.ndarray] = []
     at, s = np.arange(n), 1
     while True:
         at = at[at + s < end[at]]
         if not len(at):
             break
-        d = np.bitwise_count(x[at] ^ x[at + s]).sum(axis=1, dtype=np.int32)
-        if unsure > bits:
-            some = np.flatnonzero((d > bits) & (d <= unsure))
-            fuzzy.append(np.stack([ids[at[some]], ids[at[some] + s], d[some]]))
-        near = at[d <= bits]
+        near = at[np.bitwise_count(x[at] ^ x[at + s]).sum(axis=1, dtype=np.int32) <= bits]
         ua.append(ids[near])
         ub.append(ids[near + s])
         held += len(near)
@@ -126,21 +120,84 @@ def _linked(run: np.ndarray, ids: np.ndarray, x: np.ndarray, bits: int, unsure:
             a, b = _stars(np.concatenate(ua), np.concatenate(ub))
             ua, ub, held = [a], [b], len(a)
         s += 1
-    a, b = _stars(np.concatenate(ua), np.concatenate(ub)) if held else (ids[:0], ids[:0])
-    sure = np.ones(len(a), bool)
-    if fuzzy and sum(f.shape[1] for f in fuzzy):
-        f = np.concatenate(fuzzy, axis=1)
-        f = np.concatenate([f, f[[1, 0, 2]]], axis=1)
-        star = f[1].copy()
-        if len(a):
-            order = np.argsort(a)
-            k = np.minimum(np.searchsorted(a[order], f[1]), len(a) - 1)
-            star = np.where(a[order][k] == f[1], b[order][k], f[1])
-        order = np.lexsort((f[1], f[2], star, f[0]))
-        f, star = f[:, order], star[order]
-        f = f[:, np.concatenate([[True], (f[0, 1:] != f[0, :-1]) | (star[1:] != star[:-1])])]
-        a, b, sure = np.concatenate([a, f[0]]), np.concatenate([b, f[1]]), np.concatenate([sure, np.zeros(f.shape[1], bool)])
-    return a, b, sure
+    return _stars(np.concatenate(ua), np.concatenate(ub)) if held else (ids[:0], ids[:0])
+
+
+def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Indices of the spanning forest of the edges u - v over ``n`` nodes that prefers earlier edges."""
+    label, alive = np.arange(n), np.arange(len(u))
+    chosen = np.zeros(len(u), bool)
+    while True:
+        lu, lv = label[u[alive]], label[v[alive]]
+        alive, lu, lv = alive[lu != lv], lu[lu != lv], lv[lu != lv]
+        if not len(alive):
+            return np.flatnonzero(chosen)
+        first = np.full(n, len(u))
+        np.minimum.at(first, lu, alive)
+        np.minimum.at(first, lv, alive)
+        pick = np.unique(first[first < len(u)])
+        chosen[pick] = True
+        nodes, roots = _stars(label[u[pick]], label[v[pick]])
+        to = np.arange(n)
+        to[nodes] = roots
+        label = to[label]
+
+
+def _nearest(run: np.ndarray, ids: np.ndarray, groups: np.ndarray, refused: list[list[int] | None], x: np.ndarray, bits: int, most: int) -> np.ndarray:
+    """(a, b, d), a < b: pairs of rows of equal ``run`` (sorted) and different ``groups`` whose bits ``x`` differ in d,
+    at most ``bits``, without the refused ones: a spanning forest over the groups, the nearest first, if ``most`` is
+    zero, else the ``most`` nearest pairs of each two groups."""
+    n = len(run)
+    end = np.searchsorted(run, run, side="right")
+    nodes, at_node = np.unique(ids, return_inverse=True)
+    group = np.zeros(len(nodes), np.int64)
+    group[at_node] = np.unique(groups, return_inverse=True)[1]
+    # node -> its refused partners among these rows, as codes of pairs
+    not_again: list[np.ndarray] = []
+    for i in np.unique(at_node, return_index=True)[1]:
+        if refused[i]:
+            theirs = np.asarray(refused[i], np.int64)
+            k = np.minimum(np.searchsorted(nodes, theirs), len(nodes) - 1)
+            k = k[nodes[k] == theirs]
+            not_again.append(np.minimum(at_node[i], k) * len(nodes) + np.maximum(at_node[i], k))
+    again = np.unique(np.concatenate(not_again)) if not_again else np.zeros(0, np.int64)
+
+    def reduced(e: np.ndarray) -> np.ndarray:
+        e = e[:, np.lexsort((e[0], e[1]))]
+        e = e[:, np.concatenate([[True], e[0, 1:] != e[0, :-1]])] if e.shape[1] else e
+        u, v = group[e[0] // len(nodes)], group[e[0] % len(nodes)]
+        if not most:
+            return e[:, _forest(u, v, len(nodes))]
+        low, high = np.minimum(u, v), np.maximum(u, v)
+        order = np.lexsort((e[0], e[1], high, low))
+        e, low, high = e[:, order], low[order], high[order]
+        new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: e.shape[1]]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        return e[:, np.arange(len(new)) - start < most]
+
+    held, size, limit = [np.zeros((2, 0), np.int64)], 0, 1_000_000
+    at, s = np.arange(n), 1
+    while True:
+        at = at[at + s < end[at]]
+        if not len(at):
+            break
+        open_ = at[group[at_node[at]] != group[at_node[at + s]]]
+        d = np.bitwise_count(x[open_] ^ x[open_ + s]).sum(axis=1, dtype=np.int64)
+        open_, d = open_[d <= bits], d[d <= bits]
+        p, q = at_node[open_], at_node[open_ + s]
+        code = np.minimum(p, q) * len(nodes) + np.maximum(p, q)
+        if len(again):
+            k = np.minimum(np.searchsorted(again, code), len(again) - 1)
+            code, d = code[again[k] != code], d[again[k] != code]
+        held.append(np.stack([code, d]))
+        size += len(code)
+        if size > limit:
+            held = [reduced(np.concatenate(held, axis=1))]
+            size = held[0].shape[1]
+            limit = max(limit, 2 * size)
+        s += 1
+    e = reduced(np.concatenate(held, axis=1))
+    return np.stack([nodes[e[0] // len(nodes)], nodes[e[0] % len(nodes)], e[1]]) if len(nodes) else np.zeros((3, 0), np.int64)
 
 
 def links(distinct: DataFrame, bits: int) -> DataFrame:
@@ -148,47 +205,72 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
     key by key. ``distinct`` should be materialized."""
     ms = masks(max(2, distinct.count()), bits)
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(ms)])).alias("k")).select("fp", "k.c", "k.key")
-    return compare(keyed, distinct.select("fp", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits")), bits).select("a", "b")
+    return compare(keyed, distinct.select("fp", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits")), bits)
 
 
-def compare(keyed: DataFrame, prints: DataFrame, bits: int, unsure: int = -1) -> DataFrame:
-    """(a, b, sure): stars over fp that join what lies within ``bits`` bits under a common key; pairs that are not sure
-    lie beyond, up to ``unsure``.
-
-    ``keyed``: fp, c, key; ``prints``: fp and its bits as bytes, a multiple of 8.
-    """
+def _dealt(keyed: DataFrame, prints: DataFrame, *more: str) -> DataFrame:
+    """(c, key, lo, hi, fp, bits, and ``more`` of prints), rows that share a key in one task and in order."""
     shared = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
     rows = keyed.join(shared, ["c", "key"])
     parts = F.ceil(F.col("n") / RUN).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.join(prints, "fp").select("c", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "bits")
     keys = ["c", "key", "lo", "hi"]
+    rows = rows.join(prints, "fp").select("c", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "bits", *more)
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
+    """(number of the run, fp, bits as rows of u64, rows) of dealt rows; a run is never cut."""
+    held: list[pa.RecordBatch] = []
+
+    def of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+        cols = np.stack([rows.column(i).to_numpy().astype(np.int64) for i in range(4)])
+        new = np.concatenate([[True], (cols[:, 1:] != cols[:, :-1]).any(axis=0)])
+        x = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        return np.cumsum(new), rows.column(4).to_numpy().astype(np.int64), x, rows
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+        tail = int((cols == cols[:, -1:]).all(axis=0).sum())
+        cut = batch.num_rows - tail
+        if held and not cut and all(held[-1].column(i)[-1].as_py() == batch.column(i)[0].as_py() for i in range(4)):
+            held.append(batch)
+            continue
+        ready = pa.Table.from_batches([*held, batch.slice(0, cut)]) if held or cut else None
+        if ready is not None and ready.num_rows:
+            yield of(ready)
+        held = [batch.slice(cut)]
+    if held:
+        yield of(pa.Table.from_batches(held))
+
+
+def compare(keyed: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
+    """(a, b): stars over fp that join what lies within ``bits`` bits under a common key.
+
+    ``keyed``: fp, c, key; ``prints``: fp and its bits as bytes, a multiple of 8.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for runs, ids, x, _ in _runs(batches):
+            a, b = _linked(runs, ids, x, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        def emit(cols: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            new = np.concatenate([[True], (cols[:4, 1:] != cols[:4, :-1]).any(axis=0)]) if cols.shape[1] else np.zeros(0, bool)
-            a, b, sure = _linked(np.cumsum(new), np.ascontiguousarray(cols[4]), x, bits, unsure)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], ["a", "b", "sure"])
+    return _dealt(keyed, prints).mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)])
-            x = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            if held:
-                cols, x = np.concatenate([held[0][0], cols], axis=1), np.concatenate([held[0][1], x])
-            last = (cols[:4] == cols[:4, -1:]).all(axis=0)
-            cut = len(last) - int(last.sum())
-            if cut:
-                yield emit(cols[:, :cut], x[:cut])
-            held = [(cols[:, cut:], x[cut:])]
-        if held:
-            yield emit(*held[0])
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, sure boolean")
+
+def candidates(keyed: DataFrame, prints: DataFrame, bits: int, most: int = 0) -> DataFrame:
+    """(a, b), a < b: pairs of different groups within ``bits`` bits under a common key that were not refused, those that
+    ``_nearest`` takes. ``prints``: fp, bits, group and refused (array of fp, or null). No pairs: none is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs, ids, x, rows in _runs(batches):
+            found = _nearest(runs, ids, rows.column(6).to_numpy().astype(np.int64), rows.column(7).to_pylist(), x, bits, most)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    return materialize(_dealt(keyed, prints, "group", "refused").mapInArrow(run, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +286,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, id_col: st
 
 # Similarity of 0.8 and less: long fingerprints
 
-#: Bits compared for candidates. Pairs far inside the similarity are linked by them, pairs about it by their shingles.
+#: Bits compared for candidates.
 CHECKED = 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -241,8 +323,8 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
 
     At 0.8, a tenth to a sixth of the bits differ, too many for blocks that catch all of them, so the fingerprint is
     long and has as many blocks as the wanted recall at the threshold takes (more similar pairs are caught more surely:
-    0.998 at 0.85 for 0.98 at 0.8). Candidates are verified by Hamming distance over CHECKED bits: three standard errors
-    inside the threshold they are linked; about it, the shingles of the nearest pair of each fingerprint and star decide.
+    0.998 at 0.85 for 0.98 at 0.8). Pairs within 2.5 standard errors of the threshold over CHECKED bits are candidates;
+    no two texts are linked but by their shingles.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     bits, count = blocks_for(docs.count(), similarity, recall)
@@ -268,25 +350,53 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
                     [pa.array(np.repeat(part.column(0).to_numpy(), count)), pa.array(np.tile(np.arange(count, dtype=np.int32), n)), pa.array(k.reshape(-1))], ["fp", "c", "key"]
                 )
 
-    keyed = firsts.select("fp", "wide").mapInArrow(keys, "fp long, c int, key long")
     far = differing(similarity)
-    error = math.sqrt(CHECKED * far * (1 - far))
-    found = compare(keyed, firsts.select("fp", F.substring("wide", 1, CHECKED // 8).alias("bits")), math.floor(CHECKED * far - 3 * error), math.ceil(CHECKED * far + 2.5 * error))
-    found = materialize(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure")))
-    sure = found.where("sure").select("a", "b")
-    comp = materialize(connected_components(sure))
-    open_ = found.where("not sure").join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    open_ = open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    limit = math.ceil(CHECKED * far + 2.5 * math.sqrt(CHECKED * far * (1 - far)))
+
+    def search(rows: DataFrame, most: int = 0) -> DataFrame:
+        """Candidates over (fp, wide, group, refused)."""
+        keyed = rows.select("fp", "wide").mapInArrow(keys, "fp long, c int, key long")
+        return candidates(keyed, rows.select("fp", F.substring("wide", 1, CHECKED // 8).alias("bits"), "group", "refused"), limit, most)
+
+    found = search(firsts.select("fp", "wide", F.col("fp").alias("group"), F.lit(None).cast("array<bigint>").alias("refused")))
+    # all that has a candidate is in ``stars``; nothing else is looked at again
+    stars = materialize(connected_components(found))
+
+    def distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle).astype(np.uint64)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "set"])
+
+    texts = d.withColumnRenamed("doc_id", "fp").join(stars.select(F.col("node").alias("fp")), "fp", "left_semi")
+    sets = materialize(texts.select("fp", "text").mapInArrow(distinct_shingles, "fp long, set binary"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = (set(shingle_hashes(batch.column(c)[k].as_py(), shingle).tolist()) for c in (2, 3))
-                if len(x & y) >= similarity * len(x | y):
-                    yield batch.slice(k, 1).select(["a", "b"])
-
-    pairs = open_.join(d.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    more = pairs.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
-    comp = connected_components(sure.union(more))
-    whole = firsts.join(comp, firsts["fp"] == comp["node"], "left").select("wide", F.coalesce("component", "fp").alias("component_id"))
+            ok = []
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(p.as_buffer() or b"", np.uint64), np.frombuffer(q.as_buffer() or b"", np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, ok) of (a, b)."""
+        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
+        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long, ok boolean"))
+
+    def joined(done: DataFrame) -> DataFrame:
+        comp = connected_components(done.where("ok"))
+        return materialize(stars.select(F.col("node").alias("fp")).join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group")))
+
+    def apart(pairs: DataFrame, done: DataFrame, groups: DataFrame) -> DataFrame:
+        """Pairs of different groups that were not verified yet."""
+        p = pairs.join(groups.select(F.col("fp").alias("a"), F.col("group").alias("ga")), "a").join(groups.select(F.col("fp").alias("b"), F.col("group").alias("gb")), "b")
+        return p.where("ga <> gb").select("a", "b").join(done, ["a", "b"], "left_anti")
+
+    # each member against its star's centre joins most; the other candidates follow where groups are still apart
+    done = verified(stars.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+    groups = joined(done)
+    done = done.unionByName(verified(apart(found, done, groups)))
+    groups = joined(done)
+    whole = firsts.join(groups, "fp", "left").select("wide", F.coalesce("group", "fp").alias("component_id"))
     return fps.join(whole, "wide").select("doc_id", "component_id")

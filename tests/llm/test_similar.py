@@ -30,3 +30,13 @@ def test_near_copies_with_repeated_lines(spark):
         assert bits_between(a, b) <= 40, times
         rows += [(2 * i, a), (2 * i + 1, b)]
     assert components(spark, rows) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_no_link_without_likeness(spark, monkeypatch):
+    # all pairs are candidates, as if the bits said that they were alike
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda text, shingle, n: b"\0" * (8 * n - 1) + bytes([len(text) % 199]))
+    rnd = random.Random(4)
+    own = [" ".join(words(rnd, 100)) for _ in range(3)]
+    rows = [(0, own[0]), (1, own[1] + " x"), (2, own[2] + " yy"), (3, own[0] + " zzz")]
+    assert len({len(t) % 199 for _, t in rows}) == 4
+    assert components(spark, rows) == {0: 0, 1: 1, 2: 2, 3: 0}
