@@ -398,5 +398,16 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall:
     groups = joined(done)
     done = done.unionByName(verified(apart(found, done, groups)))
     groups = joined(done)
+    # then the next nearest pairs of groups that are apart, more in each round, until all are joined or refused
+    most = 8
+    while True:
+        no = done.where("not ok")
+        no = no.union(no.select("b", "a", "ok")).groupBy(F.col("a").alias("fp")).agg(F.collect_set("b").alias("refused"))
+        found = search(materialize(firsts.join(groups, "fp").join(no, "fp", "left").select("fp", "wide", "group", "refused")), most)
+        if found.isEmpty():
+            break
+        done = done.unionByName(verified(found))
+        groups = joined(done)
+        most *= 8
     whole = firsts.join(groups, "fp", "left").select("wide", F.coalesce("group", "fp").alias("component_id"))
     return fps.join(whole, "wide").select("doc_id", "component_id")

@@ -40,3 +40,23 @@ def test_no_link_without_likeness(spark, monkeypatch):
     rows = [(0, own[0]), (1, own[1] + " x"), (2, own[2] + " yy"), (3, own[0] + " zzz")]
     assert len({len(t) % 199 for _, t in rows}) == 4
     assert components(spark, rows) == {0: 0, 1: 1, 2: 2, 3: 0}
+
+
+def test_the_nearest_pair_by_bits_is_not_the_only_try(spark, monkeypatch):
+    rnd = random.Random(5)
+    base = words(rnd, 100)
+
+    def changed(*at):
+        return " ".join("x" + w if i in at else w for i, w in enumerate(base))
+
+    # only 1 and 3 join {0, 1} and {2, 3}, and by bits they are the farthest pair
+    texts = [changed(), changed(10), changed(10, 30, 50, 70), changed(10, 30, 50)]
+    flips = [range(0), range(60, 70), range(60), [*range(60), *range(70, 80)]]
+
+    def bits(text, shingle, n):
+        x = np.zeros(64 * n, np.uint8)
+        x[list(flips[texts.index(text)])] = 1
+        return np.packbits(x).tobytes()
+
+    monkeypatch.setattr(simhash, "wide_fingerprint", bits)
+    assert components(spark, list(enumerate(texts))) == {0: 0, 1: 0, 2: 0, 3: 0}
