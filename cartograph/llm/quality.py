@@ -5,7 +5,8 @@ sought deterministically: start from medians and median deviations, then repeat
 keeps the share ``SUPPORT`` of the documents with the least Mahalanobis distance and takes their mean and covariance. A
 step is two aggregates that Spark combines before the shuffle (a quantile sketch and sums), so a group with a third of
 all rows is no bottleneck. The covariance gets the consistency factor of the chi-square and a floor of noise per
-coordinate, which keeps it regular where most documents share a value. Documents beyond the ``CUTOFF`` distance go.
+coordinate, which keeps it regular where most documents share a value; repetition gets noise by the length of the
+document, as one repeated line says little in a short one. Documents beyond the ``CUTOFF`` distance go.
 
 Groups of fewer than ``LEAST`` documents that pass the base rules are pooled by language, and those that are still too
 few together; what remains below it is judged by the base rules alone.
@@ -28,8 +29,12 @@ SUPPORT = 0.75
 STEPS = 4
 STATS = ("v0", "v1", "v2", "v3", "v4")
 #: Standard deviation of noise in each coordinate: log words, log word length, roots of the shares of symbols, repeated
-#: lines and repeated words. One repeated line in a short document is no outlier.
-FLOOR = (0.25, 0.05, 0.02, 0.15, 0.2)
+#: lines and repeated words.
+FLOOR = (0.25, 0.05, 0.02, 0.05, 0.08)
+#: Variance that a document adds in the last two, by its length: one repeated line lies two standard deviations off, in
+#: few lines as in many. A line counts as LINE words at most, so that long documents of one line get none for free.
+NOISE = ("u3", "u4")
+LINE = 12
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -110,6 +115,11 @@ def vector() -> list[Column]:
     ]
 
 
+def noise() -> list[Column]:
+    line = 1 / F.greatest(F.col("n_lines"), F.lit(1))
+    return [line / 4, F.least(line, LINE / F.greatest(F.col("n_words"), F.lit(1))) / 4]
+
+
 def _groups(d: DataFrame) -> DataFrame:
     """Adds group: by language and source, else by language, else all; null where even that is too few."""
     ok = (~F.col("base_failed")).cast("long")
@@ -127,16 +137,28 @@ def _groups(d: DataFrame) -> DataFrame:
 
 
 def _distance(center: str = "mu", factor: str = "il") -> Column:
-    """Squared length of L^-1 (v - mu), L^-1 lower triangular and flat."""
+    """Squared length of L^-1 (v - mu), L^-1 lower triangular and flat, with the document's noise added to the variances
+    of the last two coordinates: what the first three leave of them is weighed by a matrix of its own."""
     diff = [F.col(v) - F.col(center)[i] for i, v in enumerate(STATS)]
-    at, total = 0, F.lit(0.0)
+    at, ys = 0, []
     for i in range(len(STATS)):
         y = F.lit(0.0)
         for j in range(i + 1):
             y = y + F.col(factor)[at] * diff[j]
             at += 1
-        total = total + y * y
-    return total
+        ys.append(y)
+
+    def last(x: Column) -> Column:
+        l33, l44 = 1 / x["i33"], 1 / x["i44"]
+        return let(F.struct(l33.alias("l33"), l44.alias("l44"), (-x["i43"] * l33 * l44).alias("l43"), x["y3"].alias("y3"), x["y4"].alias("y4")), weighed)
+
+    def weighed(x: Column) -> Column:
+        a, b, c = x["l33"] * x["l33"] + F.col(NOISE[0]), x["l33"] * x["l43"], x["l43"] * x["l43"] + x["l44"] * x["l44"] + F.col(NOISE[1])
+        r, s = x["l33"] * x["y3"], x["l43"] * x["y3"] + x["l44"] * x["y4"]
+        return (c * r * r - 2 * b * r * s + a * s * s) / (a * c - b * b)
+
+    i33, i43, i44 = (F.col(factor)[k] for k in (9, 13, 14))
+    return sum((y * y for y in ys[:3]), F.lit(0.0)) + let(F.struct(i33.alias("i33"), i43.alias("i43"), i44.alias("i44"), ys[3].alias("y3"), ys[4].alias("y4")), last)
 
 
 def _inverse_factor(moments: DataFrame) -> DataFrame:
@@ -179,14 +201,14 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(group, mu, il) by deterministic concentration steps over (group, v0..)."""
+    """(group, mu, il) by deterministic concentration steps over (group, v0.., u3, u4)."""
     p = len(STATS)
     q = rows.groupBy("group").agg(*(F.percentile_approx(v, [0.25, 0.5, 0.75], 2000).alias(v) for v in STATS))
     scale = [F.greatest((F.col(v)[2] - F.col(v)[0]) / 1.349, F.lit(FLOOR[i])) for i, v in enumerate(STATS)]
     flat = [1.0 / scale[i] if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)]
     est = materialize(q.select("group", F.array(*(F.col(v)[1] for v in STATS)).alias("mu"), F.array(*flat).alias("il")), partitions=1)
     for _ in range(STEPS):
-        d = join_small(rows, est, ["group"]).select("group", *STATS, _distance().alias("d"))
+        d = join_small(rows, est, ["group"]).select("group", *STATS, *NOISE, _distance().alias("d"))
         cut = d.groupBy("group").agg(F.percentile_approx("d", SUPPORT, 2000).alias("cut"))
         inner = join_small(d, materialize(cut, partitions=1), ["group"]).where("d <= cut")
         est = materialize(_inverse_factor(_moments(inner)), partitions=1)
@@ -196,13 +218,13 @@ def estimates(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, the statistics, base_failed, distance (squared, null if not judged by it), kept."""
     d = statistics(docs, id_col, text_col, lang_col, source_col, keep).withColumn("base_failed", base_failed())
-    d = d.select("*", *(v.alias(n) for n, v in zip(STATS, vector(), strict=True)))
+    d = d.select("*", *(v.alias(n) for n, v in zip(STATS + NOISE, vector() + noise(), strict=True)))
     d = materialize(d)
     d = materialize(_groups(d))
     judged = d.where("not base_failed and `group` is not null")
-    est = estimates(judged.select("group", *STATS))
+    est = estimates(judged.select("group", *STATS, *NOISE))
     far = join_small(judged, est, ["group"]).withColumn("distance", _distance()).drop("mu", "il")
     rest = d.where("base_failed or `group` is null").withColumn("distance", F.lit(None).cast("double"))
-    return far.unionByName(rest).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).drop(*STATS)
+    return far.unionByName(rest).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).drop(*STATS, *NOISE)
 
 
