@@ -1,11 +1,12 @@
 """Main text of HTML pages: markup regions, then nearest-URL page differencing.
 
 Each page is cut into blocks (lines of text). Markup tells chrome (menus, headers, footers, sidebars, notices, adverts,
-forms, comments) from the article; what it leaves open is judged by differencing. Pages are ordered by host and path;
-of its two neighbours within the host a page is paired with the one that shares the longer prefix of path segments
+forms, comments) from the article; what it leaves open is judged by differencing, on pages with an article too. Pages
+with open lines are ordered by host and path; of its two neighbours within the host a page is paired with the one that shares the longer prefix of path segments
 (then of characters). The open lines of a pair are aligned by longest common subsequence, and shared lines, the site's
 template, are deleted, unless they are most of either page: then the pair are copies of each other and nothing goes.
-Lines of a marked article are never template, so that passages which articles share stay.
+Lines of a marked article are never template, so that passages which articles share stay; they count as text of a pair
+that may be copies. What is left of the open lines stands where it stood among the article's.
 
 Neighbours come from a range partitioning by (host, path), which deals a host with a third of all rows over many tasks;
 rows at the edges of partitions meet over a table of one row per partition.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .common import materialize
 from .url_rules import split_url
 
 MAIN, OPEN, CHROME = 0, 1, 2
-#: Shared lines that are more than this part of a page's open text make the pair copies, not pages of one template.
+#: Shared lines that are more than this part of a page's text make the pair copies, not pages of one template.
 COPY_SHARE = 0.7
 
 # Fixed names of HTML elements.
@@ -205,15 +207,27 @@ def _shared_prefix(a: str, b: str) -> tuple[int, int]:
     return a[:n].count("/"), n
 
 
-def template_lines(own: list[str], partner: list[str]) -> list[bool]:
-    """Open lines of a page to delete: those shared with its partner, unless the two are copies."""
+def template_lines(own: list[str], partner: list[str], marked: list[int] = [], theirs: list[int] = []) -> list[bool]:  # noqa: B006
+    """Open lines of a page to delete: those shared with its partner, unless the two are copies. ``marked`` and ``theirs``
+    are the ``_mark`` of the lines of their articles."""
     keep = common_lines(own, partner)
-    shared = sum(len(x) for x, k in zip(own, keep, strict=True) if k)
-    if shared > COPY_SHARE * min(sum(map(len, own)), sum(map(len, partner))):
+    shared = sum(len(x) for x, k in zip(own, keep, strict=True) if k) + _length((Counter(marked) & Counter(theirs)).elements())
+    if shared > COPY_SHARE * min(sum(map(len, own)) + _length(marked), sum(map(len, partner)) + _length(theirs)):
         return [False] * len(own)
     return keep
 
 
+def _mark(line: str) -> int:
+    """A line as 40 bits of hash and 23 of its length."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(line) >> 24 << 23 | min(len(line), (1 << 23) - 1)
+
+
+def _length(marks) -> int:
+    return sum(m & ((1 << 23) - 1) for m in marks)
+
+
 def neighbours(pages: DataFrame) -> DataFrame:
     """(rid, partner) over materialized (rid, host, path): the nearest neighbour by path within the host."""
     n = max(pages.rdd.getNumPartitions(), pages.sparkSession.sparkContext.defaultParallelism)
@@ -246,7 +260,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 36
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
@@ -255,28 +269,37 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     found = blocks(doc)
                     main = [x for x, k in found if k == MAIN]
                     host, path = split_url(url)
-                    rows.append((rid, page, url, host, path, main, [] if main else [x for x, k in found if k == OPEN]))
+                    open_, at, before = [], [], 0
+                    for x, k in found:
+                        before += k == MAIN
+                        if k == OPEN:
+                            open_.append(x)
+                            at.append(before)
+                    rows.append((rid, page, url, host, path, main, open_, at, [_mark(x) for x in main] if open_ else []))
                     rid += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["rid", "page_id", "url", "host", "path", "main", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["rid", "page_id", "url", "host", "path", "main", "open", "at", "marks"])
 
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    p = materialize(p.mapInArrow(parse, "rid long, page_id long, url string, host string, path string, main array<string>, open array<string>"))
-    pairs = neighbours(p)
-    other = p.where(F.size("open") > 0).select(F.col("rid").alias("partner"), F.col("open").alias("theirs"))
-    mine = p.where(F.size("open") > 0).select("rid", "open").join(pairs, "rid").join(other, "partner", "left")
+    p = materialize(p.mapInArrow(parse, "rid long, page_id long, url string, host string, path string, main array<string>, open array<string>, at array<int>, marks array<bigint>"))
+    some = p.where(F.size("open") > 0)
+    other = some.select(F.col("rid").alias("partner"), F.col("open").alias("theirs"), F.col("marks").alias("their_marks"))
+    mine = some.select("rid", "open", "at", "marks").join(neighbours(some), "rid").join(other, "partner", "left")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = pa.struct([("at", pa.int32()), ("main", pa.int32()), ("n", pa.int32()), ("line", pa.string())])
         for batch in batches:
-            rid, left = batch.column(0), []
-            for own, theirs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                gone = template_lines(own, theirs or [])
-                left.append([x for x, g in zip(own, gone, strict=True) if not g])
-            yield pa.RecordBatch.from_arrays([rid, pa.array(left, pa.list_(pa.string()))], ["rid", "left"])
-
-    rest = mine.select("rid", "open", "theirs").mapInArrow(difference, "rid long, left array<string>")
-    # only pages without an article meet their lines again; the others' text is not shuffled
-    none = F.array().cast("array<string>")
-    marked = p.where(F.size("main") > 0).select("page_id", "url", F.array_join("main", "\n").alias("text"))
-    others = p.where(F.size("main") == 0).select("rid", "page_id", "url").join(rest, "rid", "left")
-    out = marked.unionByName(others.select("page_id", "url", F.array_join(F.coalesce("left", none), "\n").alias("text")))
+            left = []
+            for own, at, marks, theirs, their_marks in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                gone = template_lines(own, theirs or [], marks, their_marks or [])
+                left.append([{"at": k, "main": 0, "n": n, "line": x} for n, (x, k, g) in enumerate(zip(own, at, gone, strict=True)) if not g])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.list_(line))], ["rid", "left"])
+
+    rest = mine.select("rid", "open", "at", "marks", "theirs", "their_marks").mapInArrow(difference, "rid long, left array<struct<at:int,main:int,n:int,line:string>>")
+    # only pages with open lines meet them again; the others' text is not shuffled
+    marked = p.where(F.size("open") == 0).select("page_id", "url", F.array_join("main", "\n").alias("text"))
+    # an open line with k lines of the article before it comes before the article's line k
+    article = F.transform("main", lambda x, i: F.struct(i.alias("at"), F.lit(1).alias("main"), F.lit(0).alias("n"), x.alias("line")))
+    lines = F.transform(F.array_sort(F.concat(article, F.col("left"))), lambda x: x["line"])
+    others = some.select("rid", "page_id", "url", "main").join(rest, "rid").select("page_id", "url", F.array_join(lines, "\n").alias("text"))
+    out = marked.unionByName(others)
     return out.withColumn("n_chars", F.length("text").cast("long"))
