@@ -1,29 +1,35 @@
-"""Byte-level BPE ids of whole texts with a memo of space-separated pieces.
-
-In a byte-level BPE vocabulary a space belongs to the word after it, so between two characters that are no white space
-a single space is always a boundary of pre-tokens: the ids of a text are those of its pieces, put together. The
-tokenizers library encodes each piece a worker hasn't met lately; most others are one dictionary look-up. A piece that
-ends in ASCII punctuation after a Latin letter or digit, perhaps with a line break and a next word, is put together
-from its parts in the same way: their borders are boundaries of pre-tokens too.
+"""Byte-level BPE ids of whole texts with a memo of pieces.
+
+In a byte-level BPE vocabulary a space belongs to the word after it and a single line break stands alone, so between
+two characters that are no white space each of them is a boundary of pre-tokens: the ids of a text are those of its
+pieces, put together. Texts are split, and their distinct pieces found, by Arrow for many texts at once; a worker looks
+up each distinct piece once, and the tokenizers library encodes those that it hasn't met lately, many in one call: as
+only their first ids start with a space or are a line break, the result is cut there. Runs of white space, with the
+pieces on either side, are encoded as they stand.
 """
 
 from __future__ import annotations
 
-import re
 import sys
-from array import array
 
-#: word, punctuation (no apostrophe, which starts contractions), and what follows a single line break.
-_PARTS = re.compile(r"(\S*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-`{-~]+)(?:\n([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]\S*))?", re.ASCII)
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: White space of Unicode and what Python counts as such besides, as a class of RE2.
+_WHITE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_PLAIN = rf"(?s)^\n?[^{_WHITE}](?:.*[^{_WHITE}])?$"
+_LEADING = rf"^[{_WHITE}]"
 
 
 class PieceEncoder:
-    """ids(texts) -> one uint16 little-endian byte string of ids per text.
+    """ids(texts): the ids of whole texts as the library gives them for each.
 
-    ``keep`` bounds the memo: two generations of at most that many short pieces each.
+    ``keep`` bounds the memo: two generations of at most that many short pieces each. A piece is held with the white
+    space before it: a line break as it is, a space left out.
     """
 
-    def __init__(self, path: str, keep: int = 450_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 700_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -32,120 +38,148 @@ class PieceEncoder:
         self.keep, self.longest = keep, longest
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.raw: dict[str, bytes] = {}  # marks and first words of lines, without a space before them
-        (self.newline,) = self._encode(["\n"])
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        (self.newline,) = self._encode(["\n"])
+        self.first = np.zeros(65_536, bool)  # ids that start a piece
+        for token, i in self.tok.get_vocab(with_added_tokens=False).items():
+            self.first[i] = token.startswith("Ġ")
+        self.first[self.newline] = True
+
+    def _encode(self, parts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(0, len(parts), 500):
+            out += [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(parts[i : i + 500], add_special_tokens=False)]
+        return out
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(parts), 2000):
-            out += [array("H", e.ids).tobytes() for e in self.tok.encode_batch_fast(parts[i : i + 2000], add_special_tokens=False)]
+    def _encode_plain(self, pieces: list[str]) -> list[bytes]:
+        """Ids of plain pieces, many in one call."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 5000):
+            part = [p if p[0] == "\n" else " " + p for p in pieces[i : i + 5000]]
+            (ids,) = self._encode(["".join(part)])
+            at = np.flatnonzero(self.first[ids])
+            if len(at) != len(part):
+                raise ValueError("this vocabulary's pieces cross white space")
+            raw, ends = ids.tobytes(), [*(2 * at[1:]).tolist(), 2 * len(ids)]
+            out += [raw[a:b] for a, b in zip((2 * at).tolist(), ends, strict=True)]
         return out
 
-    def _remember(self, words: list[str]) -> dict[str, bytes]:
-        """Encode plain pieces after a space; returns those that are too long for the memo."""
-        made: list[tuple[str, str, str, str | None]] = []
-        whole: list[str] = []
-        raw: set[str] = set()
-        for w in words:
-            if m := _PARTS.fullmatch(w):
-                stem, marks, rest = m.groups()
-                made.append((w, stem, marks, rest))
-                raw.add(marks)
-                if rest:
-                    raw.add(rest)
-                if stem not in self.new:
-                    if (b := self.old.get(stem)) is not None:
-                        self.new[stem] = b
-                    else:
-                        whole.append(stem)
-            else:
-                whole.append(w)
-        whole = list(dict.fromkeys(whole))
-        rare = {}
-        for w, b in zip(whole, self._encode([" " + w for w in whole]), strict=True):
-            (self.new if len(w) <= self.longest else rare)[w] = b
-        lines = [x for x in raw if x not in self.raw]
-        if len(self.raw) > self.keep // 4:
-            self.raw.clear()
-            lines = list(raw)
-        self.raw.update(zip(lines, self._encode(lines), strict=True))
-        for w, stem, marks, rest in made:
-            b = (self.new[stem] if stem in self.new else rare[stem]) + self.raw[marks]
-            if rest:
-                b += self.newline + self.raw[rest]
-            (self.new if len(w) <= self.longest else rare)[w] = b
-        return rare
-
-    def _plain(self, piece: str) -> bool:
-        """Both ends are no white space, so the spaces around it are boundaries."""
-        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids as the library gives them for each whole text. The empty text has none."""
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        for k, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                whole.append(k)  # special strings may span pieces
-                continue
-            split.append((k, text.split(" ")))
-        wanted = set().union(*(p[1:] for _, p in split)) if split else set()
-        wanted.difference_update(self.new)
-        fresh, odd = [], set()
-        for w in wanted:
-            if (b := self.old.get(w)) is not None:
-                self.new[w] = b
-            elif not self._plain(w):
-                odd.add(w)
+    def _look_up(self, distinct: pa.Array) -> tuple[list[str], list[bytes], np.ndarray]:
+        """The distinct pieces, their ids (none if odd) and which of them are odd."""
+        pieces = distinct.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.new.get, pieces))
+        fresh = []
+        for k in [k for k, b in enumerate(got) if b is None]:
+            b = self.old.get(pieces[k])
+            if b is None:
+                fresh.append(k)
             else:
-                fresh.append(w)
-        rare = self._remember(fresh)
-        heads = {p[0] for _, p in split if self._plain(p[0])}
-        first = dict(zip(heads, self._encode(list(heads)), strict=True))
-        loose: list[tuple[int, list]] = []  # texts with runs of spaces: pieces, and stretches that are encoded as they are
-        stretches: list[str] = []
-        for k, parts in split:
-            if parts[0] in first and (not odd or odd.isdisjoint(parts[1:])):
-                try:
-                    out[k] = first[parts[0]] + b"".join(map(self.new.__getitem__, parts[1:]))
-                except KeyError:
-                    out[k] = first[parts[0]] + b"".join(self.new[w] if w in self.new else rare[w] for w in parts[1:])
-                continue
-            row: list = []
-            i, n = 0, len(parts)
-            while i < n:
-                if self._plain(parts[i]):
-                    row.append(first[parts[0]] if i == 0 else self.new.get(parts[i]) or rare[parts[i]])
-                    i += 1
-                    continue
-                j = i  # the plain pieces on either side of a run join the stretch
-                while j < n and not self._plain(parts[j]):
-                    j += 1
-                lo, hi = max(0, i - 1), min(n, j + 1)
-                if i > 0:
-                    row.pop()
-                while True:  # a neighbour's right edge is plain; its left one must be as well
-                    while hi < n and not self._plain(parts[hi]):
-                        hi += 1
-                    if hi >= n or self._plain(parts[hi - 1]):
-                        break
-                    hi += 1
-                row.append(len(stretches))
-                stretches.append((" " if lo else "") + " ".join(parts[lo:hi]))
-                i = hi
-            loose.append((k, row))
-        done = self._encode(stretches)
-        for k, row in loose:
-            out[k] = b"".join(done[x] if isinstance(x, int) else x for x in row)
-        for k, b in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
-            out[k] = b
+                got[k] = self.new[pieces[k]] = b
+        odd = np.zeros(len(pieces), bool)
+        if fresh:
+            # the memo holds plain pieces only
+            plain = pc.match_substring_regex(distinct.take(pa.array(fresh)), _PLAIN).to_numpy(zero_copy_only=False)
+            at = np.array(fresh)
+            odd[at[~plain]] = True
+            for k in at[~plain].tolist():
+                got[k] = b""
+            fresh = at[plain].tolist()
+            for k, b in zip(fresh, self._encode_plain([pieces[k] for k in fresh]), strict=True):
+                got[k] = b
+                if len(pieces[k]) <= self.longest:
+                    self.new[pieces[k]] = b
         if len(self.new) > self.keep:
             self.old, self.new = self.new, {}
+        return pieces, got, odd
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids u16 of all texts, n + 1 offsets). The empty text has none."""
+        n = len(texts)
+        odd_text = pc.match_substring_regex(texts, _LEADING)
+        for s in self.special:  # special strings may span pieces
+            odd_text = pc.or_(odd_text, pc.match_substring(texts, s))
+        odd_text = odd_text.to_numpy(zero_copy_only=False)
+        plain_text = ~odd_text & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+        chosen = np.flatnonzero(plain_text)
+        got, sizes = self._split_ids(texts.take(pa.array(chosen)).cast(pa.large_string()))
+        if not odd_text.any():
+            lens = np.zeros(n, np.int64)
+            lens[chosen] = sizes
+            return got, np.concatenate([[0], np.cumsum(lens)])
+        parts: list[np.ndarray] = [np.zeros(0, np.uint16)] * n
+        ends = np.cumsum(sizes)
+        for k, a, b in zip(chosen.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+            parts[k] = got[a:b]
+        whole = np.flatnonzero(odd_text)
+        for k, ids in zip(whole.tolist(), self._encode(texts.take(pa.array(whole)).to_pylist()), strict=True):
+            parts[k] = ids
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+    def _split_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of texts that start with no white space and are not empty."""
+        if not len(texts):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        # a text is taken as the rest of a line, whose break is dropped in the end
+        empty = pa.scalar("", pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(empty, texts, pa.scalar("\n", pa.large_string())), "\n", " \n"), " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        ends = ends - ends[0]
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        pieces, values, is_odd = self._look_up(coded.dictionary)
+        odd = is_odd[at]
+        odd[ends[:-1]] = False  # the empty piece before a text
+        if odd.any():
+            at = self._stretches(at, odd, ends, pieces, values)
+        lens = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        pool = np.frombuffer(b"".join(values), np.uint16)
+        size = lens[at]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = pool[np.repeat((np.cumsum(lens) - lens)[at] - before[:-1], size) + np.arange(before[-1])]
+        starts = before[ends]
+        keep = np.ones(len(ids), bool)
+        keep[starts[:-1]] = False
+        return ids[keep], np.diff(starts) - 1
+
+    def _stretches(self, at: np.ndarray, odd: np.ndarray, ends: np.ndarray, pieces: list[str], values: list[bytes]) -> np.ndarray:
+        """Encodes odd pieces with their neighbours: the first piece of a stretch stands for all of it in the result,
+        the others for nothing. Adds to ``values``."""
+        inside = np.ones(len(at), bool)  # whether a piece and the one before it are of one text
+        inside[ends[:-1]] = False
+        inside[np.minimum(ends[:-1] + 1, len(at) - 1)] &= False  # a text's first piece starts anew
+        joined = inside & (odd | np.concatenate([[False], odd[:-1]]))
+        after = np.concatenate([joined[1:], [False]])
+        begin = np.flatnonzero(~joined & after)
+        stop = np.flatnonzero(joined & ~after) + 1
+        texts = []
+        for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
+            texts.append("".join(p if p[:1] == "\n" else " " + p for p in map(pieces.__getitem__, at[a:b].tolist())))
+        # a text of one odd piece has no neighbour
+        alone = np.flatnonzero(odd & ~joined & ~after)
+        texts += [pieces[k] if pieces[k][:1] == "\n" else " " + pieces[k] for k in at[alone].tolist()]
+        out = at.astype(np.int64)
+        out[joined] = len(values)
+        values.append(b"")
+        begin = np.concatenate([begin, alone])
+        out[begin] = len(values) + np.arange(len(begin))
+        distinct = list(dict.fromkeys(texts))
+        coded = dict(zip(distinct, self._encode(distinct), strict=True))
+        values += [coded[t].tobytes() for t in texts]
         return out
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 4_000_000):
+    """Parts of ``batch`` whose texts have about ``size`` bytes."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def encoder(path: str) -> PieceEncoder:
     """One per worker process and vocabulary; it outlives a task."""
     held = sys.modules[__name__].__dict__.setdefault("_held", {})

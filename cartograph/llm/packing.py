@@ -39,14 +39,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(bpe.vocabulary(tokenizer))
-        end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in bpe.slices(batch, 1):
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), enc.ids(part.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(ids + end, "<u2").astype("<u4")
-                    rows += [(doc, 0, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), capacity))]
+                ids, ends = enc.ids(part.column(1))
+                for doc, a, b in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    own = np.full(b - a + 1, end_id, "<u4")
+                    own[:-1] = ids[a:b]
+                    rows += [(doc, 0, k, s, n, zlib.crc32(own[s : s + n])) for k, (s, n) in enumerate(cut(len(own), capacity))]
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "copy", "piece", "start", "length", "ids_crc32"])

@@ -262,7 +262,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(bpe.vocabulary(tokenizer))
-        end = np.array([end_id], "<u2").tobytes()
         held: list[tuple[int, np.ndarray]] = []
         state = {"n": 0, "frame": 0, "before": 0, "file": 0}
 
@@ -278,10 +277,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
         for batch in batches:
             if batch.num_rows:
                 state["file"] = batch.column(2)[0].as_py()
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for doc, ids in zip(part.column(0).to_pylist(), enc.ids(part.column(1).to_pylist()), strict=True):
-                    a = np.frombuffer(ids + end, "<u2")
+            for part in bpe.slices(batch, 1):
+                ids, ends = enc.ids(part.column(1))
+                for doc, lo, hi in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    a = np.full(hi - lo + 1, end_id, "<u2")
+                    a[:-1] = ids[lo:hi]
                     held.append((doc, a))
                     state["n"] += len(a)
                     if state["n"] >= frame_ids:
