@@ -33,6 +33,15 @@ def materialize(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tables/" in path:
+                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,33 +61,33 @@ def n_words(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges``; nodes without an edge are absent.
 
-    Alternates large-star and small-star (Kiveris et al., 2014). Each round is two shuffles on the node, its output is
-    written to the shared folder, and a node's neighbours are reduced to a minimum with partial aggregation, so no
-    neighbour list is ever built. Self links only make a node known. Stops when a round changes nothing.
+    Alternates large-star and small-star (Kiveris et al., 2014) until a round changes nothing, after a number of rounds
+    that grows as the logarithm of the nodes. A node's neighbours are reduced to a minimum with partial aggregation and
+    meet it again by ``join_small``, so that no neighbour list is built and the centre of a large star is no hot key.
+    Each round's output is written to the shared folder. Self links only make a node known.
     """
     e = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null").distinct()
     )
     mark = _signature(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         # large star: larger neighbours of u point at the least neighbour of u (or u itself)
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = join_small(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct())
         # small star: u and its smaller neighbours point at the least of them
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small_low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small)
-        before, mark = mark, _signature(e)
+        small_low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = join_small(large, small_low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        before, old = mark, e
+        e = materialize(small.union(small_low.select("u", F.col("m").alias("v"))).distinct())
+        free(old, low, large, small_low)
+        mark = _signature(e)
         if mark == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     e = e.where("u <> v")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
@@ -114,4 +123,4 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-__all__ = ["SMALL_ROWS", "SPACE", "WORD", "clean", "connected_components", "join_small", "let", "materialize", "n_words", "shared_dir", "ship", "table", "text_or_empty", "words"]
+__all__ = ["SMALL_ROWS", "SPACE", "WORD", "clean", "connected_components", "free", "join_small", "let", "materialize", "n_words", "shared_dir", "ship", "table", "text_or_empty", "words"]

@@ -4,8 +4,12 @@ The 64 bits are cut into k blocks. Fingerprints that differ in at most d bits ag
 they meet under one of the C(k, d) keys made of k - d blocks. k is the smallest number whose keys have so many bits
 that a key holds less than one unrelated fingerprint on average; it changes the work, never the result. Only distinct
 fingerprints are joined, so exact copies cost nothing. Rows that share a key come to one task in order; NumPy compares
-them at all distances within the key, and only a spanning star of what is linked leaves the task, never all pairs. Keys
-with more than ``RUN`` fingerprints are dealt out: each is split into parts, and each pair of parts is a task of its own.
+them at all distances within the key, and only a spanning star of what is linked leaves the task, never all pairs.
+
+Keys with more than ``RUN`` fingerprints are split into parts, at random in each key, and compared within their parts
+first: that is linear, and mostly joins a large group of copies whole. Then the rows of different groups that are left
+in such a key meet over all its parts, the largest group's on one side and all others on the other, so that a group
+that is joined already is never compared with itself.
 
 Cases: a null or empty text has fingerprint zero and links like any other; repeated rows and ids are kept row by row;
 very long texts are read whole; an empty table gives no rows; other columns are not read.
@@ -20,12 +24,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, text_or_empty
+from .common import connected_components, free, join_small, materialize, text_or_empty
 
 RUN = 2000
+#: Candidates for each row of a run that are all taken; runs with more are compared again once those are settled.
+EACH = 4
 
 
 def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
@@ -102,24 +108,33 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _linked(run: np.ndarray, ids: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the rows of equal ``run`` (sorted) whose bits ``x`` (rows of u64) differ in at most ``bits``, as stars."""
-    n = len(run)
+def _pairs(run: np.ndarray, x: np.ndarray, bits: int, group: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, d): rows of equal ``run`` (sorted) and different ``group`` whose bits ``x`` (rows of u64) differ in d, at most
+    ``bits``; bit by bit of the distance between rows."""
     end = np.searchsorted(run, run, side="right")
-    ua, ub, held = [], [], 0
-    at, s = np.arange(n), 1
+    at, s = np.arange(len(run)), 1
     while True:
         at = at[at + s < end[at]]
         if not len(at):
-            break
-        near = at[np.bitwise_count(x[at] ^ x[at + s]).sum(axis=1, dtype=np.int32) <= bits]
-        ua.append(ids[near])
-        ub.append(ids[near + s])
-        held += len(near)
+            return
+        i = at if group is None else at[group[at] != group[at + s]]
+        d = np.bitwise_count(x[i] ^ x[i + s]).sum(axis=1, dtype=np.int64)
+        near = d <= bits
+        if near.any():
+            yield i[near], i[near] + s, d[near]
+        s += 1
+
+
+def _linked(run: np.ndarray, ids: np.ndarray, x: np.ndarray, bits: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the rows of equal ``run``, as stars."""
+    ua, ub, held = [], [], 0
+    for i, j, _ in _pairs(run, x, bits, group):
+        ua.append(ids[i])
+        ub.append(ids[j])
+        held += len(i)
         if held > 1_000_000:
             a, b = _stars(np.concatenate(ua), np.concatenate(ub))
             ua, ub, held = [a], [b], len(a)
-        s += 1
     return _stars(np.concatenate(ua), np.concatenate(ub)) if held else (ids[:0], ids[:0])
 
 
@@ -143,81 +158,110 @@ def _forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
         label = to[label]
 
 
-def _nearest(run: np.ndarray, ids: np.ndarray, groups: np.ndarray, refused: list[list[int] | None], x: np.ndarray, bits: int, most: int) -> np.ndarray:
-    """(a, b, d), a < b: pairs of rows of equal ``run`` (sorted) and different ``groups`` whose bits ``x`` differ in d,
-    at most ``bits``, without the refused ones: a spanning forest over the groups, the nearest first, if ``most`` is
-    zero, else the ``most`` nearest pairs of each two groups."""
+def _candidates(run: np.ndarray, ids: np.ndarray, x: np.ndarray, bits: int, close: int) -> tuple[np.ndarray, np.ndarray]:
+    """((a, b), a < b, first rows of the runs that have more): pairs of rows of a run that differ in ``bits`` bits at most:
+    all of them, if a run has ``EACH`` for each of its rows at most, else only the run's spanning forest over pairs
+    within ``close`` bits, the nearest first."""
     n = len(run)
-    end = np.searchsorted(run, run, side="right")
-    nodes, at_node = np.unique(ids, return_inverse=True)
-    group = np.zeros(len(nodes), np.int64)
-    group[at_node] = np.unique(groups, return_inverse=True)[1]
-    # node -> its refused partners among these rows, as codes of pairs
-    not_again: list[np.ndarray] = []
-    for i in np.unique(at_node, return_index=True)[1]:
-        if refused[i]:
-            theirs = np.asarray(refused[i], np.int64)
-            k = np.minimum(np.searchsorted(nodes, theirs), len(nodes) - 1)
-            k = k[nodes[k] == theirs]
-            not_again.append(np.minimum(at_node[i], k) * len(nodes) + np.maximum(at_node[i], k))
-    again = np.unique(np.concatenate(not_again)) if not_again else np.zeros(0, np.int64)
+    first = np.searchsorted(run, run)  # a run's first row stands for it
+    size = np.bincount(first, minlength=n)
+    more = np.zeros(n, bool)
+    held, count, limit = np.zeros((3, 0), np.int64), 0, 1_000_000
+    new: list[np.ndarray] = []
 
     def reduced(e: np.ndarray) -> np.ndarray:
-        e = e[:, np.lexsort((e[0], e[1]))]
-        e = e[:, np.concatenate([[True], e[0, 1:] != e[0, :-1]])] if e.shape[1] else e
-        u, v = group[e[0] // len(nodes)], group[e[0] % len(nodes)]
-        if not most:
-            return e[:, _forest(u, v, len(nodes))]
-        low, high = np.minimum(u, v), np.maximum(u, v)
-        order = np.lexsort((e[0], e[1], high, low))
-        e, low, high = e[:, order], low[order], high[order]
-        new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: e.shape[1]]
-        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        return e[:, np.arange(len(new)) - start < most]
-
-    held, size, limit = [np.zeros((2, 0), np.int64)], 0, 1_000_000
-    at, s = np.arange(n), 1
-    while True:
-        at = at[at + s < end[at]]
-        if not len(at):
-            break
-        open_ = at[group[at_node[at]] != group[at_node[at + s]]]
-        d = np.bitwise_count(x[open_] ^ x[open_ + s]).sum(axis=1, dtype=np.int64)
-        open_, d = open_[d <= bits], d[d <= bits]
-        p, q = at_node[open_], at_node[open_ + s]
-        code = np.minimum(p, q) * len(nodes) + np.maximum(p, q)
-        if len(again):
-            k = np.minimum(np.searchsorted(again, code), len(again) - 1)
-            code, d = code[again[k] != code], d[again[k] != code]
-        held.append(np.stack([code, d]))
-        size += len(code)
-        if size > limit:
-            held = [reduced(np.concatenate(held, axis=1))]
-            size = held[0].shape[1]
-            limit = max(limit, 2 * size)
-        s += 1
-    e = reduced(np.concatenate(held, axis=1))
-    return np.stack([nodes[e[0] // len(nodes)], nodes[e[0] % len(nodes)], e[1]]) if len(nodes) else np.zeros((3, 0), np.int64)
-
-
-def links(distinct: DataFrame, bits: int) -> DataFrame:
-    """(a, b) over distinct fingerprints (column fp): stars that join exactly the fingerprints within ``bits`` bits,
-    key by key. ``distinct`` should be materialized."""
-    ms = masks(max(2, distinct.count()), bits)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(ms)])).alias("k")).select("fp", "k.c", "k.key")
-    return compare(keyed, distinct.select("fp", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits")), bits)
-
-
-def _dealt(keyed: DataFrame, prints: DataFrame, *more: str) -> DataFrame:
-    """(c, key, lo, hi, fp, bits, and ``more`` of prints), rows that share a key in one task and in order."""
-    shared = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(shared, ["c", "key"])
-    parts = F.ceil(F.col("n") / RUN).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    keys = ["c", "key", "lo", "hi"]
-    rows = rows.join(prints, "fp").select("c", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "bits", *more)
-    return rows.repartition(*keys).sortWithinPartitions(*keys)
+        found = np.bincount(first[e[0]], minlength=n)
+        more[found > EACH * size] = True
+        many = more[first[e[0]]]
+        few, e = e[:, ~many], e[:, many & (e[2] <= close)]
+        e = e[:, np.lexsort((ids[e[1]], ids[e[0]], e[2]))]
+        return np.concatenate([few, e[:, _forest(e[0], e[1], n)]], axis=1)
+
+    for i, j, d in _pairs(run, x, bits, None):
+        new.append(np.stack([i, j, d]))
+        count += len(i)
+        if count > limit:
+            held = reduced(np.concatenate([held, *new], axis=1))
+            new, count = [], held.shape[1]
+            limit = max(limit, 2 * count)
+    held = reduced(np.concatenate([held, *new], axis=1))
+    a, b = ids[held[0]], ids[held[1]]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1), np.flatnonzero(more)
+
+
+def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of hashes have this Jaccard similarity or more."""
+    both = len(p) + len(q) - len(np.union1d(p, q))
+    return both >= similarity * (len(p) + len(q) - both)
+
+
+def _decided(run: np.ndarray, ids: np.ndarray, x: np.ndarray, block: np.ndarray, group: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join all rows of a run and of different groups that are alike by their sets; a pair is left to the
+    first block that it shares."""
+    found = [np.zeros((3, 0), np.int64)]
+    for i, j, _ in _pairs(run, x[:, : CHECKED // 64], most_bits(similarity, CHECKED), group):
+        for lo in range(0, len(i), 10_000):
+            a, b = i[lo : lo + 10_000], j[lo : lo + 10_000]
+            differ = x[a] ^ x[b]
+            d = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+            ok = np.flatnonzero(d <= most_bits(similarity, 64 * WORDS))
+            same = ~np.unpackbits(differ[ok].view(np.uint8), axis=1)[:, : BLOCKS * BLOCK_BITS].reshape(len(ok), BLOCKS, BLOCK_BITS).any(axis=2)
+            ok = ok[same.argmax(axis=1) == block[a[ok]]]
+            found.append(np.stack([a[ok], b[ok], d[ok]]))
+    e = np.concatenate(found, axis=1)
+    e = e[:, np.lexsort((ids[e[1]], ids[e[0]], e[2]))]
+    label = np.unique(np.stack([run, group]), axis=1, return_inverse=True)[1].reshape(-1)
+    root = list(range(len(run)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for i, j in e[:2].T.tolist():
+        p, q = top(int(label[i])), top(int(label[j]))
+        if p != q and alike(sets[i], sets[j], similarity):
+            root[q] = p
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(key, n): keys that n > 1 rows have."""
+    return materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+
+
+def _own(keyed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, lo, hi, fp): rows that share a key, dealt to one part of it each. A key with many rows is split by Spark's
+    own handling of skewed joins, as its count was written before."""
+    part = F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") / RUN)).cast("int")
+    return keyed.join(shared, "key").select("key", part.alias("lo"), "fp").withColumn("hi", F.col("lo"))
+
+
+def _dealt(rows: DataFrame, prints: DataFrame, *more: str) -> DataFrame:
+    """(key, lo, hi, fp, bits, and ``more`` of prints) of (key, lo, hi, fp), rows that are compared in one task and in order."""
+    keys = ["key", "lo", "hi"]
+    rows = rows.join(prints, "fp").select(*keys, "fp", "bits", *more)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "fp")
+
+
+def _across(rows: DataFrame, size: int) -> DataFrame:
+    """(key, lo, hi, fp) of (key, fp, group): keys with several groups, dealt so that any two rows of different groups meet.
+
+    The largest group of a key is one side, cut into parts lo of about ``size`` rows; all others are the other side, cut into parts hi; every
+    lo meets every hi, and the parts of the other side meet each other (as -1 - lo, -1 - hi)."""
+    by = rows.groupBy("key", "group").agg(F.count("*").alias("n"))
+    by = by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    by = materialize(by.select("key", F.col("main.group").alias("main"), F.ceil(F.col("main.n") / size).cast("int").alias("pm"), F.ceil((F.col("n") - F.col("main.n")) / size).cast("int").alias("po")))
+    r = join_small(rows, by, ["key"]).withColumn("other", F.col("group") != F.col("main"))
+    r = r.withColumn("own", F.pmod(F.xxhash64("fp", "key"), F.when(F.col("other"), F.col("po")).otherwise(F.col("pm"))).cast("int"))
+    seq = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    with_main = F.when(F.col("other"), F.transform(seq("pm"), lambda i: pair(i, F.col("own")))).otherwise(F.transform(seq("po"), lambda j: pair(F.col("own"), j)))
+    others = F.when(F.col("other") & (F.col("po") > 1), F.transform(seq("po"), lambda j: pair(-1 - F.least("own", j), -1 - F.greatest("own", j)))).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
+    return r.select("key", "fp", F.explode(F.concat(with_main, others)).alias("at")).select("key", "at.lo", "at.hi", "fp")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
@@ -225,18 +269,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
     held: list[pa.RecordBatch] = []
 
     def of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-        cols = np.stack([rows.column(i).to_numpy().astype(np.int64) for i in range(4)])
+        cols = np.stack([rows.column(i).to_numpy().astype(np.int64) for i in range(3)])
         new = np.concatenate([[True], (cols[:, 1:] != cols[:, :-1]).any(axis=0)])
-        x = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
-        return np.cumsum(new), rows.column(4).to_numpy().astype(np.int64), x, rows
+        x = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        return np.cumsum(new), rows.column(3).to_numpy().astype(np.int64), x, rows
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
-        tail = int((cols == cols[:, -1:]).all(axis=0).sum())
+        cols = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+        tail = int((cols == cols[:, -1:]).all(axis=0)[::-1].cumprod().sum())
         cut = batch.num_rows - tail
-        if held and not cut and all(held[-1].column(i)[-1].as_py() == batch.column(i)[0].as_py() for i in range(4)):
+        if held and not cut and all(held[-1].column(i)[-1].as_py() == batch.column(i)[0].as_py() for i in range(3)):
             held.append(batch)
             continue
         ready = pa.Table.from_batches([*held, batch.slice(0, cut)]) if held or cut else None
@@ -247,61 +291,83 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield of(pa.Table.from_batches(held))
 
 
-def compare(keyed: DataFrame, prints: DataFrame, bits: int) -> DataFrame:
-    """(a, b): stars over fp that join what lies within ``bits`` bits under a common key.
-
-    ``keyed``: fp, c, key; ``prints``: fp and its bits as bytes, a multiple of 8.
-    """
+def _compared(dealt: DataFrame, bits: int, grouped: bool) -> DataFrame:
+    """(a, b): stars over fp that join what lies within ``bits`` bits in dealt rows, of different groups if there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs, ids, x, _ in _runs(batches):
-            a, b = _linked(runs, ids, x, bits)
+        for runs, ids, x, rows in _runs(batches):
+            a, b = _linked(runs, ids, x, bits, rows.column(5).to_numpy().astype(np.int64) if grouped else None)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return _dealt(keyed, prints).mapInArrow(run, "a long, b long")
-
+    return dealt.mapInArrow(run, "a long, b long")
 
-def candidates(keyed: DataFrame, prints: DataFrame, bits: int, most: int = 0) -> DataFrame:
-    """(a, b), a < b: pairs of different groups within ``bits`` bits under a common key that were not refused, those that
-    ``_nearest`` takes. ``prints``: fp, bits, group and refused (array of fp, or null). No pairs: none is left."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs, ids, x, rows in _runs(batches):
-            found = _nearest(runs, ids, rows.column(6).to_numpy().astype(np.int64), rows.column(7).to_pylist(), x, bits, most)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
-
-    return materialize(_dealt(keyed, prints, "group", "refused").mapInArrow(run, "a long, b long").distinct())
+def links(distinct: DataFrame, bits: int) -> DataFrame:
+    """(node, component) over distinct fingerprints (column fp) that are joined by links of ``bits`` bits at most; those
+    without a link are absent. ``distinct`` should be materialized."""
+    ms = masks(max(2, distinct.count()), bits)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(ms)])
+    keyed = distinct.select("fp", F.explode(keys).alias("key"))
+    prints = distinct.select("fp", F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits"))
+    shared = _shared(keyed)
+    found = materialize(_compared(_dealt(_own(keyed, shared), prints), bits, False).distinct())
+    comp = materialize(connected_components(found))
+    large = shared.where(F.col("n") > RUN).select("key")
+    if not large.isEmpty():
+        groups = materialize(distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group")))
+        rows = _across(join_small(keyed, large, ["key"]).join(groups, "fp"), RUN)
+        more = _compared(_dealt(rows, prints.join(groups, "fp"), "group"), bits, True).distinct()
+        joined = materialize(connected_components(found.union(more)))
+        free(comp, groups)
+        comp = joined
+    free(found, shared)
+    return comp
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, fp, component_id (the smallest doc_id reachable over links of at most ``bits`` bits)."""
     fps = materialize(fingerprints(docs, shingle, id_col, text_col))
     firsts = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    comp = connected_components(links(firsts.select("fp"), bits))
+    comp = links(firsts.select("fp"), bits)
     whole = firsts.join(comp, firsts["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     least = whole.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = materialize(whole.join(least, "root").select("fp", "component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    free(firsts, comp)
+    return join_small(fps, by_fp, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 # Similarity of 0.8 and less: long fingerprints
 
-#: Bits compared for candidates.
-CHECKED = 512
+#: Blocks of a long fingerprint and bits of each, the same at every size of the corpus: pairs at a similarity of 0.8 share a
+#: block with probability 0.93, at 0.85 0.99.
+BLOCKS, BLOCK_BITS = 96, 22
+WORDS = -(-BLOCKS * BLOCK_BITS // 64)
+#: Bits compared within a block, before all of them are.
+CHECKED = 128
+#: Candidates lie within so many standard errors of the bits that differ at the wanted similarity.
+ERRORS = 3.0
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def wide_fingerprint(text: str, shingle: int, words: int) -> bytes:
-    """SimHash of ``words`` times 64 bits over the set of shingles: each word has its own hashes, mixed from the shingles'
-    XXH64. A shingle counts once, so that differing bits estimate the likeness of sets that is asked for."""
-    h = np.unique(shingle_hashes(text, shingle).astype(np.uint64))
+    """SimHash of ``words`` times 64 bits over the set of shingles of a text."""
+    return wide_of(np.unique(shingle_hashes(text, shingle).astype(np.uint64)), words)
+
+
+def wide_of(h: np.ndarray, words: int) -> bytes:
+    """SimHash of distinct hashes: each word has its own hashes, mixed from them. A shingle counts once, so that
+    differing bits estimate the likeness of sets that is asked for."""
     if not len(h):
         return bytes(8 * words)
-    z = h[:, None] + _GOLDEN * np.arange(1, words + 1, dtype=np.uint64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    z ^= z >> np.uint64(31)
-    total = np.concatenate([_bit_sums(z[:, [j]].view(np.uint8)) for j in range(words)]) if len(h) > 100_000 else _bit_sums(np.ascontiguousarray(z).view(np.uint8))
+    total = np.zeros(64 * words, np.int64)
+    for lo in range(0, len(h), 10_000):
+        z = h[lo : lo + 10_000, None] + _GOLDEN * np.arange(1, words + 1, dtype=np.uint64)
+        z ^= z >> np.uint64(30)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(27)
+        z *= np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        total += _bit_sums(z.view(np.uint8))
     return np.packbits(2 * total > len(h)).tobytes()
 
 
@@ -310,104 +376,171 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def blocks_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Bits per block and number of blocks so that a pair at ``similarity`` shares a block with probability ``recall``
-    and a block holds a few unrelated texts on average at most."""
-    bits = max(12, math.ceil(math.log2(max(2, n))) + 2)
-    p = (1 - differing(similarity)) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - p))
+def most_bits(similarity: float, bits: int) -> int:
+    far = differing(similarity)
+    return math.ceil(bits * far + ERRORS * math.sqrt(bits * far * (1 - far)))
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id and component_id over texts whose shingles are ``similarity`` alike or more.
+def recall(similarity: float) -> float:
+    """Probability that two texts of this similarity share a block."""
+    return 1 - (1 - (1 - differing(similarity)) ** BLOCK_BITS) ** BLOCKS
 
-    At 0.8, a tenth to a sixth of the bits differ, too many for blocks that catch all of them, so the fingerprint is
-    long and has as many blocks as the wanted recall at the threshold takes (more similar pairs are caught more surely:
-    0.998 at 0.85 for 0.98 at 0.8). Pairs within 2.5 standard errors of the threshold over CHECKED bits are candidates;
-    no two texts are linked but by their shingles.
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(row, set) of (row, text): sorted distinct shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(batch.column(1)[k].as_py(), shingle).astype(np.uint64)).tobytes() for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "set"])
+
+    return texts.mapInArrow(run, "fp long, set binary")
+
+
+def _joined(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """(a, b, va, vb): pairs with a value (fp, ``name``) of either."""
+    both = pairs.join(values.select(F.col("fp").alias("a"), F.col(name).alias("va")), "a").join(values.select(F.col("fp").alias("b"), F.col(name).alias("vb")), "b")
+    return both.select("a", "b", "va", "vb")
+
+
+def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, row_col: str = "_row", text_col: str = "text", order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes) of ``docs``: rows has (row, order, h1, h2), classes (h1, h2, first, component) with one row per distinct set
+    of shingles; its first row by ``order`` (a column of docs), and the component, a row number, that it belongs to.
+
+    ``row_col`` numbers the rows and must be the same whenever ``docs`` is read, as for a table in files.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    bits, count = blocks_for(docs.count(), similarity, recall)
-    words = max(CHECKED // 64, -(-bits * count // 64))
+    order = order or row_col
+    d = docs.select(F.col(row_col).cast("long").alias("row"), F.col(order).alias("order"), text_or_empty(text_col).alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = [wide_fingerprint(batch.column(1)[k].as_py(), shingle, words) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.binary())], ["doc_id", "wide"])
+        import xxhash
 
-    fps = materialize(d.mapInArrow(prints, "doc_id long, wide binary"))
-    firsts = materialize(fps.groupBy("wide").agg(F.min("doc_id").alias("fp")))
+        for batch in batches:
+            w, one, two = [], [], []
+            for k in range(batch.num_rows):
+                h = np.unique(shingle_hashes(batch.column(2)[k].as_py(), shingle).astype(np.uint64))
+                w.append(wide_of(h, WORDS))
+                whole = xxhash.xxh3_128_intdigest(h.tobytes())
+                one.append(signed(whole >> 64))
+                two.append(signed(whole & ((1 << 64) - 1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(w, pa.binary())], ["row", "order", "h1", "h2", "wide"])
+
+    kind = next(f.dataType.simpleString() for f in d.schema if f.name == "order")
+    fps = materialize(d.mapInArrow(prints, f"row long, order {kind}, h1 long, h2 long, wide binary"))
+    firsts = materialize(fps.groupBy("h1", "h2").agg(F.min("row").alias("fp"), F.min(F.struct("order", "row")).alias("first")))
+    wide = materialize(fps.select(F.col("row").alias("fp"), "wide").join(firsts.select("fp"), "fp"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(bits, dtype=np.int64)
+        weight = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 n = part.num_rows
                 x = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1), axis=1)
-                k = x[:, : bits * count].reshape(n, count, bits).astype(np.int64) @ weight
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column(0).to_numpy(), count)), pa.array(np.tile(np.arange(count, dtype=np.int32), n)), pa.array(k.reshape(-1))], ["fp", "c", "key"]
-                )
-
-    far = differing(similarity)
-    limit = math.ceil(CHECKED * far + 2.5 * math.sqrt(CHECKED * far * (1 - far)))
+                k = x[:, : BLOCK_BITS * BLOCKS].reshape(n, BLOCKS, BLOCK_BITS).astype(np.int64) @ weight + (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), BLOCKS))], ["key", "fp"])
 
-    def search(rows: DataFrame, most: int = 0) -> DataFrame:
-        """Candidates over (fp, wide, group, refused)."""
-        keyed = rows.select("fp", "wide").mapInArrow(keys, "fp long, c int, key long")
-        return candidates(keyed, rows.select("fp", F.substring("wide", 1, CHECKED // 8).alias("bits"), "group", "refused"), limit, most)
+    keyed = wide.select("fp", "wide").mapInArrow(keys, "key long, fp long")
+    bits = wide.select("fp", F.substring("wide", 1, CHECKED // 8).alias("bits"))
 
-    found = search(firsts.select("fp", "wide", F.col("fp").alias("group"), F.lit(None).cast("array<bigint>").alias("refused")))
-    # all that has a candidate is in ``stars``; nothing else is looked at again
-    stars = materialize(connected_components(found))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, null): candidates of dealt rows; (null, null, key): keys that have more of them."""
+        for runs, ids, x, rows in _runs(batches):
+            pairs, more = _candidates(runs, ids, x, most_bits(similarity, CHECKED), math.ceil(CHECKED * differing(similarity)))
+            open_ = rows.column(0).to_numpy()[more].astype(np.int64)
+            none = [None] * len(open_)
+            a = pa.array([*pairs[0].tolist(), *none], pa.int64())
+            b = pa.array([*pairs[1].tolist(), *none], pa.int64())
+            yield pa.RecordBatch.from_arrays([a, b, pa.array([*([None] * pairs.shape[1]), *open_.tolist()], pa.int64())], ["a", "b", "key"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs, ids, x, rows in _runs(batches):
+            block = rows.column(0).to_numpy().astype(np.int64) >> BLOCK_BITS
+            sets = [np.frombuffer(v.as_buffer() or b"", np.uint64) for v in rows.column(6)]
+            found = _decided(runs, ids, x, block, rows.column(5).to_numpy().astype(np.int64), sets, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], ["a", "b"])
 
-    def distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle).astype(np.uint64)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "set"])
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose bits, all of them, say that they may be alike."""
+        limit = most_bits(similarity, 64 * WORDS)
 
-    texts = d.withColumnRenamed("doc_id", "fp").join(stars.select(F.col("node").alias("fp")), "fp", "left_semi")
-    sets = materialize(texts.select("fp", "text").mapInArrow(distinct_shingles, "fp long, set binary"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+                    ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(p.as_buffer() or b"", np.uint64), np.frombuffer(q.as_buffer() or b"", np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+        return materialize(_joined(pairs, wide, "wide").mapInArrow(run, "a long, b long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, ok) of (a, b)."""
-        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
-        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long, ok boolean"))
+        """(a, b, ok) of (a, b) by their shingles."""
 
-    def joined(done: DataFrame) -> DataFrame:
-        comp = connected_components(done.where("ok"))
-        return materialize(stars.select(F.col("node").alias("fp")).join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group")))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of = lambda v: np.frombuffer(v.as_buffer() or b"", np.uint64)
+                ok = [alike(of(p), of(q), similarity) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    def apart(pairs: DataFrame, done: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs of different groups that were not verified yet."""
-        p = pairs.join(groups.select(F.col("fp").alias("a"), F.col("group").alias("ga")), "a").join(groups.select(F.col("fp").alias("b"), F.col("group").alias("gb")), "b")
-        return p.where("ga <> gb").select("a", "b").join(done, ["a", "b"], "left_anti")
+        return materialize(_joined(pairs, sets, "set").mapInArrow(run, "a long, b long, ok boolean"))
 
-    # each member against its star's centre joins most; the other candidates follow where groups are still apart
+    def grouped(ok: DataFrame) -> DataFrame:
+        """(fp, group) of all rows that a candidate has."""
+        comp = connected_components(ok)
+        return materialize(nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group")))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs of different groups."""
+        p = pairs.join(groups.select(F.col("fp").alias("a"), F.col("group").alias("ga")), "a").join(groups.select(F.col("fp").alias("b"), F.col("group").alias("gb")), "b")
+        return p.where("ga <> gb").select("a", "b")
+
+    shared = _shared(keyed)
+    found = materialize(_dealt(_own(keyed, shared), bits).mapInArrow(search, "a long, b long, key long").distinct())
+    pairs = near(found.where("a is not null").select("a", "b"))
+    # each row against the centre of its star joins most; the other candidates follow where groups are still apart
+    stars = materialize(connected_components(pairs))
+    # keys that were cut, or have more candidates than were taken, are compared once more, all of their rows
+    open_keys = shared.where(F.col("n") > RUN).select("key").union(found.where("key is not null").select("key")).distinct()
+    rows = materialize(join_small(keyed, materialize(open_keys), ["key"]))
+    nodes = materialize(stars.select(F.col("node").alias("fp")).union(rows.select("fp")).distinct())
+    # no broadcast of all nodes: its size follows the corpus
+    sets = materialize(_sets(d.join(nodes.select(F.col("fp").alias("row")), "row", "left_semi").select(F.col("row").alias("fp"), "text"), shingle))
     done = verified(stars.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
-    groups = joined(done)
-    done = done.unionByName(verified(apart(found, done, groups)))
-    groups = joined(done)
-    # then the next nearest pairs of groups that are apart, more in each round, until all are joined or refused
-    most = 8
-    while True:
-        no = done.where("not ok")
-        no = no.union(no.select("b", "a", "ok")).groupBy(F.col("a").alias("fp")).agg(F.collect_set("b").alias("refused"))
-        found = search(materialize(firsts.join(groups, "fp").join(no, "fp", "left").select("fp", "wide", "group", "refused")), most)
-        if found.isEmpty():
-            break
-        done = done.unionByName(verified(found))
-        groups = joined(done)
-        most *= 8
-    whole = firsts.join(groups, "fp", "left").select("wide", F.coalesce("group", "fp").alias("component_id"))
-    return fps.join(whole, "wide").select("doc_id", "component_id")
+    groups = grouped(done.where("ok"))
+    done = done.unionByName(verified(apart(pairs).join(done.select("a", "b"), ["a", "b"], "left_anti")))
+    free(groups, found, pairs, stars, shared)
+    groups = grouped(done.where("ok"))
+    if not rows.isEmpty():
+        has = wide.select("fp", F.col("wide").alias("bits")).join(groups, "fp").join(sets, "fp")
+        more = _dealt(_across(rows.join(groups, "fp"), RUN // 4), has, "group", "set").mapInArrow(decide, "a long, b long")
+        done = done.where("ok").select("a", "b").union(materialize(more))
+        free(groups)
+        groups = grouped(done)
+    classes = materialize(firsts.join(groups, "fp", "left").select("h1", "h2", "first", F.coalesce("group", "fp").alias("component")))
+    free(firsts, wide, sets, nodes, groups, rows)
+    return fps.select("row", "order", "h1", "h2"), classes
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id and component_id, the least doc_id of the texts whose shingles are joined by links of
+    ``similarity`` or more.
+
+    At 0.8, a tenth to a sixth of the bits differ, too many for blocks that catch all of them, so the fingerprint is
+    long and has ``BLOCKS`` blocks, which find a pair with the probability ``recall``. Pairs whose bits say that they may
+    be alike are candidates; no two texts are linked but by their shingles.
+
+    Cases: null ids and repeated ids are rows of their own (a component's id is its least one that is not null); a null or
+    empty text is like any other; ties and repeated rows share a class; an empty table gives no rows; other columns are
+    not read. ``docs`` must give the same rows in the same partitions whenever it is read, as a table in files does.
+    """
+    numbered = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    rows, classes = similar_classes(numbered, similarity, shingle, "_row", "_text", "_id")
+    members = materialize(join_small(rows, classes.select("h1", "h2", "component"), ["h1", "h2"]).select(F.col("order").alias("doc_id"), "component"))
+    least = materialize(members.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    return join_small(members, least, ["component"]).select("doc_id", "component_id")
+
+
+def distinct_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, row_col: str = "_row", text_col: str = "text", order: str | None = None) -> DataFrame:
+    """(row): the first row by ``order`` of each group of ``similar`` texts."""
+    _, classes = similar_classes(docs, similarity, shingle, row_col, text_col, order)
+    return classes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
