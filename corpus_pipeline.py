@@ -32,9 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest doc_id of each group of texts whose five-word shingles are 0.8 alike or more."""
     ship(spark)
     rows = _rows(docs)
-    groups = simhash.similar(rows, 0.8, 5, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
-    first = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("x"))
-    return rows.join(materialize(first.select(F.col(f"x.{ROW}").alias(ROW))), ROW, "left_semi").select(*COLUMNS)
+    first = simhash.distinct_rows(rows, 0.8, 5, row_col=ROW, order="doc_id").withColumnRenamed("row", ROW)
+    return rows.join(materialize(first), ROW, "left_semi").select(*COLUMNS)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
