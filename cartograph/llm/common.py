@@ -123,4 +123,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-__all__ = ["SMALL_ROWS", "SPACE", "WORD", "clean", "connected_components", "free", "join_small", "let", "materialize", "n_words", "shared_dir", "ship", "table", "text_or_empty", "words"]
+def running(values: Column, combine, chunk: int = 128) -> Column:
+    """Inclusive running results of the associative ``combine`` over an array of int. Folds run over chunks and then over
+    the chunks' totals, as appending to an array copies it."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(None).cast("int").alias("at"), none.alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        return let(F.when(acc["at"].isNull(), x).otherwise(combine(acc["at"], x)), lambda v: F.struct(v.alias("at"), F.concat(acc["out"], F.array(v)).alias("out")))
+
+    def scan(a: Column) -> Column:
+        return F.aggregate(a, start, add, lambda acc: acc["out"])
+
+    def joined(parts: Column) -> Column:
+        before = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return let(before, lambda b: F.flatten(F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(F.transform(p, lambda x: combine(F.get(b, k - 1), x))))))
+
+    def of(a: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / chunk).cast("int")), lambda k: scan(F.slice(a, k * chunk + 1, F.lit(chunk))))
+        return F.when(F.size(a) <= chunk, scan(a)).otherwise(let(many, joined))
+
+    return let(values, of)
+
+
+__all__ = ["SMALL_ROWS", "SPACE", "WORD", "clean", "connected_components", "free", "join_small", "let", "materialize", "n_words", "running", "shared_dir", "ship", "table", "text_or_empty", "words"]

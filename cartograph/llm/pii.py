@@ -1,14 +1,15 @@
 """Personal data by rules and weak supervision. DataFrame functions only.
 
 Base spans come from fixed expressions (e-mail, IP address, card, phone). Further spans come from candidates, stretches
-of 12 or more token characters with a digit that no base span touches. Labelers vote on each candidate: the shape by expressions, a gazetteer of
+of 12 or more token characters with a digit, and shorter values or groups with one that a credential word announces, that
+no base span touches. Labelers vote on each candidate: the shape by expressions, a gazetteer of
 credential words before it, and its context (assignment, quotes, label). Votes have few patterns, so their counts over
 all documents are a bounded table: expectation-maximisation estimates each labeler's reliability and the share of
 private candidates from it, and a naive Bayes span classifier is trained on the resulting posteriors over votes and
 features of the span. Its verdict per pattern is a bounded table again, matched in the plan.
 
 Expressions are anchored at the start of a run and possessive, so that they take linear time and no recursion on texts
-of one endless word.
+of one endless word. Places of matches are running sums over chunks, and spans meet spans by halving.
 
 Cases: a null or empty text has no spans; repeated rows are searched row by row; an empty table gives no rows; other
 columns are not read unless kept.
@@ -22,7 +23,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, materialize, running
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -32,22 +33,48 @@ TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{12,}+"
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Words that announce a credential or an identity number.
 CREDENTIALS = ("token", "secret", "password", "passwd", "pwd", "api", "key", "bearer", "auth", "credential", "account", "konto", "iban", "ssn", "passport", "licence", "license", "contraseña", "passwort", "clave", "jeton")
+#: A shorter value with a digit, or groups of them, that such a word announces with a colon, an equals sign or the like.
+ANNOUNCED = (
+    r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(CREDENTIALS) + r")(?:[ _-]?(?:no|nr|num|number|code|key|id))?[.]?[\"']?(?:[ ]?[:=#][ ]?|[ ]is[ ]|[ ](?=[0-9]{3}-[0-9]{2}-|[A-Z]{2}[0-9]{2}))[\"'`]?"
+    r"([A-Za-z]{2}[0-9]{2}(?:[ ][0-9A-Za-z]{4}){2,8}+(?:[ ][0-9A-Za-z]{1,3})?(?![0-9A-Za-z])|(?=[^\s\"'`,;<>0-9]*+[0-9])[^\s\"'`,;<>]{4,}+)"
+)
 VOTERS = 5
 CONTEXT = 32
 SPAN = "struct<start:int,kind:int,stop:int>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` as array<struct<start, stop, m>> in code points: lengths of what lies between them add up."""
+def located(text: Column, pattern: str, context: int = 0) -> Column:
+    """Matches of ``pattern`` as array<struct<start, stop, m>> in code points: lengths of what lies between them add up.
+    With ``context`` also before, so many characters before the match (as far as the last match but one)."""
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("m")))).alias("out"))
+    def of(found: Column, gaps: Column) -> Column:
+        ends = running(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m)), lambda x, y: x + y)
+        if not context:
+            return F.zip_with(ends, found, lambda stop, m: F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("m")))
+        before = lambda i: F.substring(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), -context, context)
+        return F.transform(F.zip_with(ends, found, lambda stop, m: F.struct(stop.alias("stop"), m.alias("m"))), lambda x, i: F.struct((x["stop"] - F.length(x["m"])).alias("start"), x["stop"].alias("stop"), x["m"].alias("m"), before(i).alias("before")))
 
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,stop:int,m:string>>")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+    none = F.array().cast("array<struct<start:int,stop:int,m:string" + (",before:string" if context else "") + ">>")
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+    return let(both, lambda x: F.when(F.size(x["m"]) == 0, none).otherwise(of(x["m"], x["gap"])))
+
+
+def sides(spans: Column) -> Column:
+    """What ``apart`` needs of spans sorted by start: their starts, and the running maximum of their ends."""
+    return F.struct(F.transform(spans, lambda b: b["start"]).alias("starts"), running(F.transform(spans, lambda b: b["stop"]), lambda x, y: F.greatest(x, y)).alias("ends"))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The ``spans`` that overlap none of the others, of which ``sides`` are given; found by halving."""
+    starts, ends = others["starts"], others["ends"]
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+
+    def free(s: Column) -> Column:
+        # others that start before the span stops
+        n = F.aggregate(steps, F.lit(0), lambda at, w: F.when((at + w <= F.size(starts)) & (F.get(starts, at + w - 1) < s["stop"]), at + w).otherwise(at))
+        return F.coalesce(F.get(ends, n - 1) <= s["start"], F.lit(True))
+
+    return F.when((F.size(spans) == 0) | (F.size(starts) == 0), spans).otherwise(F.filter(spans, free))
 
 
 def luhn(digits: Column) -> Column:
@@ -83,13 +110,13 @@ def base_spans(text: Column) -> Column:
     ))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, stop, pattern>>: stretches that may be private, with votes (low bits) and features."""
+def with_candidates(d: DataFrame, text: Column) -> DataFrame:
+    """Adds cand to rows with base, array<struct<start, stop, pattern>>: stretches that may be private, with votes (low bits)
+    and features. Column by column, as an expression of all would nest too deep for the analyser."""
     gazetteer = "(?i)(?:" + "|".join(CREDENTIALS) + ")"
 
     def pattern(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        m = s["m"]
+        before, m = s["before"], s["m"]
         letters, n = F.length(F.regexp_replace(m, "[^A-Za-z]", "")), F.length(m)
         votes = [
             F.rlike(m, F.lit("^(?:[0-9a-f]{24,}|[0-9A-F]{24,})$")) | (F.rlike(m, F.lit("[a-z]")) & F.rlike(m, F.lit("[A-Z]")) & (n >= 20)),  # shape: hexadecimal or mixed
@@ -102,12 +129,21 @@ def candidates(text: Column, base: Column) -> Column:
         bits = F.lit(0)
         for i, b in enumerate([*votes, *features]):
             bits = bits + F.when(b, F.lit(1 << i)).otherwise(0)
-        return bits
+        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), bits.alias("pattern"))
+
+    none = F.array().cast("array<struct<start:int,stop:int,m:string,before:string>>")
+
+    def value(s: Column) -> Column:
+        said = lambda v: F.substring(F.concat(s["before"], F.substring(s["m"], F.lit(1), F.length(s["m"]) - F.length(v))), -CONTEXT, CONTEXT)
+        return let(F.regexp_extract(s["m"], ANNOUNCED, 1), lambda v: F.struct((s["stop"] - F.length(v)).alias("start"), s["stop"].alias("stop"), v.alias("m"), said(v).alias("before")))
 
-    free = F.filter(located(text, TOKEN), lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    none = F.array().cast("array<struct<start:int,stop:int,pattern:int>>")
-    found = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), pattern(s).alias("pattern")))
-    return F.when(F.rlike(text, F.lit("[0-9]")), found).otherwise(none)
+    d = d.withColumn("_tokens", F.when(F.rlike(text, F.lit(TOKEN)), located(text, TOKEN, CONTEXT)).otherwise(none))
+    d = d.withColumn("_said", F.when(F.rlike(text, F.lit(ANNOUNCED)), F.transform(located(text, ANNOUNCED, CONTEXT), value)).otherwise(none))
+    d = d.withColumn("_base", sides(F.col("base")))
+    d = d.withColumn("_tokens", apart(F.col("_tokens"), F.col("_base"))).withColumn("_said", apart(F.col("_said"), F.col("_base")))
+    d = d.withColumn("_held", sides(F.col("_tokens")))
+    d = d.withColumn("_tokens", F.concat("_tokens", apart(F.col("_said"), F.col("_held"))))
+    return d.withColumn("cand", F.transform("_tokens", pattern)).drop("_tokens", "_said", "_base", "_held")
 
 
 def reliabilities(counts: dict[int, int], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
@@ -157,7 +193,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """Per row of ``docs``: doc_id, base and spans (array<struct<start, kind, stop>>, in order), and the kept columns."""
     text = F.coalesce(F.col("_t"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), *keep)
-    d = d.withColumn("base", base_spans(text)).withColumn("cand", candidates(text, F.col("base"))).drop("_t")
+    d = d.withColumn("base", base_spans(text))
+    d = with_candidates(d, text).drop("_t")
     d = materialize(d)
     counts = {r["p"]: r["n"] for r in d.select(F.explode("cand.pattern").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}  # <= 2^9 rows
     good = [p for p, yes in train(counts).items() if yes]
