@@ -3,8 +3,8 @@
 Each document gets a vector of transformed statistics. Per (language, source) the minimum covariance determinant is
 sought deterministically: start from medians and median deviations, then repeat concentration steps, each of which
 keeps the share ``SUPPORT`` of the documents with the least Mahalanobis distance and takes their mean and covariance. A
-step is two aggregates that Spark combines before the shuffle (a quantile sketch and sums), so a group with a third of
-all rows is no bottleneck. The covariance gets the consistency factor of the chi-square and a floor of noise per
+step is two aggregates that Spark combines before the shuffle (a histogram of distances and sums), so a group with a
+third of all rows is no bottleneck, and steps repeat until the determinants settle. The covariance gets the consistency factor of the chi-square and a floor of noise per
 coordinate, which keeps it regular where most documents share a value; repetition gets noise by the length of the
 document, as one repeated line says little in a short one. Documents beyond the ``CUTOFF`` distance go.
 
@@ -19,14 +19,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, let, materialize, words
+from .common import free, join_small, let, materialize, words
 
 LEAST = 50
 SUPPORT = 0.75
-STEPS = 4
+#: Steps of the grids for quantiles: of a statistic, and of the binary logarithm of a squared distance.
+GRID = 512
+SETTLED = 1e-3
 STATS = ("v0", "v1", "v2", "v3", "v4")
 #: Standard deviation of noise in each coordinate: log words, log word length, roots of the shares of symbols, repeated
 #: lines and repeated words.
@@ -59,8 +61,10 @@ def chi2_quantile(p: float, k: int) -> float:
     return lo
 
 
-#: Squared distance beyond which a document is an outlier. Far out: the vectors of good documents are not normal.
-CUTOFF = 60.0
+#: Share of a normal distribution's documents that may go. Far out, as the vectors of good documents are not normal: with
+#: five statistics the squared distance is about 60.
+TAIL = 1.2e-11
+CUTOFF = chi2_quantile(1 - TAIL, len(STATS))
 FACTOR = SUPPORT / chi2_cdf(chi2_quantile(SUPPORT, len(STATS)), len(STATS) + 2)
 
 
@@ -200,27 +204,58 @@ def _moments(rows: DataFrame) -> DataFrame:
     )
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(group, mu, il) by deterministic concentration steps over (group, v0.., u3, u4)."""
+def _quantiles(levels: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(group, stat, q) from (group, stat, level): the least level that a share of the rows does not exceed. Levels are a grid,
+    so their counts are a bounded table for each group and don't depend on the order of rows."""
+    n = levels.groupBy("group", "stat", "level").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("group", "stat")
+    n = n.withColumn("below", F.sum("n").over(by.orderBy("level"))).withColumn("all", F.sum("n").over(by))
+    return n.groupBy("group", "stat").agg(F.array(*(F.min(F.when(F.col("below") >= F.lit(p) * F.col("all"), F.col("level"))) for p in shares)).alias("q"))
+
+
+def start(rows: DataFrame) -> DataFrame:
+    """(group, mu, il): medians, and spreads from quartiles."""
     p = len(STATS)
-    q = rows.groupBy("group").agg(*(F.percentile_approx(v, [0.25, 0.5, 0.75], 2000).alias(v) for v in STATS))
-    scale = [F.greatest((F.col(v)[2] - F.col(v)[0]) / 1.349, F.lit(FLOOR[i])) for i, v in enumerate(STATS)]
+    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("stat"), F.floor(F.col(v) * GRID).cast("int").alias("level")) for i, v in enumerate(STATS))))
+    q = _quantiles(rows.select("group", grid.alias("x")).select("group", "x.stat", "x.level"), (0.25, 0.5, 0.75))
+    q = q.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("stat", "q"))).alias("q"))  # five entries
+    mid = [(F.col("q")[i][1] + 0.5) / GRID for i in range(p)]
+    scale = [F.greatest((F.col("q")[i][2] - F.col("q")[i][0]) / (1.349 * GRID), F.lit(FLOOR[i])) for i in range(p)]
     flat = [1.0 / scale[i] if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)]
-    est = materialize(q.select("group", F.array(*(F.col(v)[1] for v in STATS)).alias("mu"), F.array(*flat).alias("il")), partitions=1)
-    for _ in range(STEPS):
-        d = join_small(rows, est, ["group"]).select("group", *STATS, *NOISE, _distance().alias("d"))
-        cut = d.groupBy("group").agg(F.percentile_approx("d", SUPPORT, 2000).alias("cut"))
-        inner = join_small(d, materialize(cut, partitions=1), ["group"]).where("d <= cut")
-        est = materialize(_inverse_factor(_moments(inner)), partitions=1)
-    return est
+    return q.select("group", F.array(*mid).alias("mu"), F.array(*flat).alias("il"))
+
+
+def concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
+    """(group, mu, il) of the share SUPPORT of rows with the least distances by ``est``."""
+    level = F.floor(F.log2(F.greatest(F.col("d"), F.lit(2.0**-20))) * GRID).cast("int")
+    d = join_small(rows, est, ["group"]).select("group", *STATS, *NOISE, _distance().alias("d")).withColumn("level", level)
+    cut = _quantiles(d.select("group", F.lit(0).alias("stat"), "level"), (SUPPORT,)).select("group", F.col("q")[0].alias("cut"))
+    return _inverse_factor(_moments(join_small(d, materialize(cut, partitions=1), ["group"]).where("level <= cut")))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """(group, mu, il) by concentration steps over (group, v0.., u3, u4), until no group's log determinant changes by more
+    than SETTLED, or changes stop getting smaller: rounding to the grid can make a step go back and forth."""
+    est = materialize(start(rows), partitions=1)
+    log_det = -sum((F.log(F.col("il")[i * (i + 3) // 2]) for i in range(len(STATS))), F.lit(0.0))
+    change = math.inf
+    while True:
+        new = materialize(concentrate(rows, est), partitions=1)
+        both = est.select("group", log_det.alias("x")).join(new.select("group", log_det.alias("y")), "group")
+        before, change = change, both.agg(F.coalesce(F.max(F.abs(F.col("x") - F.col("y"))), F.lit(0.0))).first()[0]
+        free(est)
+        est = new
+        if change <= SETTLED or change >= before:
+            return est
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, the statistics, base_failed, distance (squared, null if not judged by it), kept."""
     d = statistics(docs, id_col, text_col, lang_col, source_col, keep).withColumn("base_failed", base_failed())
     d = d.select("*", *(v.alias(n) for n, v in zip(STATS + NOISE, vector() + noise(), strict=True)))
-    d = materialize(d)
-    d = materialize(_groups(d))
+    raw = materialize(d)
+    d = materialize(_groups(raw))
+    free(raw)
     judged = d.where("not base_failed and `group` is not null")
     est = estimates(judged.select("group", *STATS, *NOISE))
     far = join_small(judged, est, ["group"]).withColumn("distance", _distance()).drop("mu", "il")
