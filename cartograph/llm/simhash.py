@@ -237,7 +237,8 @@ def _own(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     """(key, lo, hi, fp): rows that share a key, dealt to one part of it each. A key with many rows is split by Spark's
     own handling of skewed joins, as its count was written before."""
     part = F.pmod(F.xxhash64("fp", "key"), F.ceil(F.col("n") / RUN)).cast("int")
-    return keyed.join(shared, "key").select("key", part.alias("lo"), "fp").withColumn("hi", F.col("lo"))
+    # tables that follow the corpus are never broadcast, however small they may be
+    return keyed.join(shared.hint("merge"), "key").select("key", part.alias("lo"), "fp").withColumn("hi", F.col("lo"))
 
 
 def _dealt(rows: DataFrame, prints: DataFrame, *more: str) -> DataFrame:
@@ -503,8 +504,7 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     open_keys = shared.where(F.col("n") > RUN).select("key").union(found.where("key is not null").select("key")).distinct()
     rows = materialize(join_small(keyed, materialize(open_keys), ["key"]))
     nodes = materialize(stars.select(F.col("node").alias("fp")).union(rows.select("fp")).distinct())
-    # no broadcast of all nodes: its size follows the corpus
-    sets = materialize(_sets(d.join(nodes.select(F.col("fp").alias("row")), "row", "left_semi").select(F.col("row").alias("fp"), "text"), shingle))
+    sets = materialize(_sets(d.join(nodes.select(F.col("fp").alias("row")).hint("merge"), "row", "left_semi").select(F.col("row").alias("fp"), "text"), shingle))
     done = verified(stars.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
     groups = grouped(done.where("ok"))
     done = done.unionByName(verified(apart(pairs).join(done.select("a", "b"), ["a", "b"], "left_anti")))
