@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-8
@@ -20,8 +20,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / ((norm(a) + EPSILON) * (norm(b) + EPSILON))
 
 
+def scaled(df: DataFrame, column: str) -> Column:
+    """Column of ``df`` scaled to 0 to 1 over all rows, whose least and greatest values are found first."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    return (F.col(column) - F.lit(low)) / (F.lit(high) - F.lit(low) + EPSILON)
+
+
 def min_max(c: Column) -> Column:
-    """Scores over all rows scaled to 0 to 1."""
+    """Scores of a top-k list scaled to 0 to 1, all of them in one task; ``scaled`` is for whole tables."""
     w = Window.partitionBy()
     return (c - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w) + EPSILON)
 

@@ -51,11 +51,12 @@ def profile(df: DataFrame, table: str, threshold: int = VALUES_DISTINCT, approxi
     return df.agg(*aggs).select(F.explode(F.array(*parts)).alias("s")).select(F.lit(table).alias("table"), "s.*")
 
 
-def profile_full(df: DataFrame, table: str, threshold: int = VALUES_DISTINCT) -> DataFrame:
-    """Statistics of whole columns in two passes: approximate counts, then sets for columns of few distinct values."""
+def profile_full(df: DataFrame, table: str, threshold: int = VALUES_DISTINCT, approximate: bool = True) -> DataFrame:
+    """Statistics of whole columns in two passes: approximate counts, then sets for columns of few distinct values, and
+    exact counts unless ``approximate``."""
     first = profile(df, table, threshold, approximate=True, values=set()).collect()  # one row per column
     few = {r["column"] for r in first if r["n_distinct"] is not None and r["n_distinct"] <= 2 * threshold}
-    return profile(df, table, threshold, approximate=True, values=few)
+    return profile(df, table, threshold, approximate=approximate, values=few)
 
 
 def profile_catalog(catalog: Catalog, rows: int = 50, ordered: bool = False, max_columns: int = 15) -> DataFrame:

@@ -76,11 +76,10 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 
 def without_archives(scores: DataFrame, k: int, strict: bool = True) -> DataFrame:
     """The k best; archives follow all others, and strictly only appear if there is nothing else."""
-    s = scores.withColumn("archive", is_archive(F.col("item")))
-    if strict:
-        any_live = F.min("archive").over(Window.partitionBy()) == F.lit(False)
-        s = s.withColumn("live", any_live).where(~F.col("archive") | ~F.col("live")).drop("live")
-    return s.orderBy("archive", F.desc("score"), "item").limit(k).select("item", "score")
+    s = scores.withColumn("archive", is_archive(F.col("item"))).orderBy("archive", F.desc("score"), "item").limit(k)
+    if strict:  # a window over the k best
+        s = s.withColumn("live", ~F.min("archive").over(Window.partitionBy())).where(~F.col("archive") | ~F.col("live"))
+    return s.orderBy("archive", F.desc("score"), "item").select("item", "score")
 
 
 # vectors

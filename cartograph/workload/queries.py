@@ -127,7 +127,7 @@ def _stats_sql(table: str, cols: list[str], numeric: set[str]) -> str:
 
 
 def _stats(df: DataFrame) -> DataFrame:
-    return profile.profile(df, "t").select(
+    return profile.profile_full(df, "t", approximate=False).select(
         F.col("column").alias("col"), "n_rows", F.round(F.col("n_null") / F.col("n_rows"), 6).alias("null_rate"), F.round(F.col("n_distinct") / F.col("n_rows"), 6).alias("distinct_ratio"),
         F.array_join("distinct_values", ",").alias("vals"), F.round("min", 4).alias("lo"), F.round("max", 4).alias("hi"),
     )
@@ -332,7 +332,8 @@ def token_centroids(spark, sf):
 
 @query("SELECT o_orderkey, round((o_totalprice - (SELECT min(o_totalprice) FROM orders)) / ((SELECT max(o_totalprice) - min(o_totalprice) FROM orders) + 1e-8), 6) AS s FROM orders")
 def min_max_scores(spark, sf):
-    return catalog(spark, sf).table("orders").select("o_orderkey", F.round(vx.min_max(F.col("o_totalprice")), 6).alias("s"))
+    orders = catalog(spark, sf).table("orders")
+    return orders.select("o_orderkey", F.round(vx.scaled(orders, "o_totalprice"), 6).alias("s"))
 
 
 @query(f"WITH {_WORDS}, {_QUERY}, {_BOOST}, {_LEX}, {_NEAR}, e AS (SELECT CAST(item AS VARCHAR) AS item, score FROM near ORDER BY score DESC, CAST(item AS BIGINT) LIMIT 50), l AS (SELECT * FROM lex ORDER BY score DESC, item LIMIT 50), en AS (SELECT item, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER () + 1e-8) AS s FROM e), ln AS (SELECT item, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER () + 1e-8) AS s FROM l) SELECT item, round(s, 4) AS score FROM (SELECT item, 0.7 * coalesce(en.s, 0) + 0.3 * coalesce(ln.s, 0) AS s FROM en FULL OUTER JOIN ln USING (item)) ORDER BY s DESC, item LIMIT 50")

@@ -204,3 +204,15 @@ def test_catalog(spark, tmp_path, engine):
     assert late.status.phase is Phase.STOPPED
     with pytest.raises(RuntimeError):
         late.ready()
+
+
+def test_guard_checks_every_relation(spark, engine, sf):
+    from cartograph.plans import sqltools
+
+    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("secret_v")
+    file = f"parquet.`{sf}/region.parquet`"
+    known = {"region", "nation"}
+    for sql in ("select * from secret_v", f"select * from secret_v a cross join {file} b", f"select * from {file} a cross join secret_v b", f"select * from region, {file}", "select * from region, secret_v", "with x as (select 1) select * from x, secret_v", "select * from region where exists (select 1 from secret_v)"):
+        assert sqltools.refusal(spark, sql, known), sql
+    for sql in ("select * from region, nation", "with secret as (select 1 a) select * from secret, region", "select * from no_such_table"):
+        assert sqltools.refusal(spark, sql, known) is None, sql
