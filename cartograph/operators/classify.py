@@ -17,11 +17,11 @@ AREA_STOP_TOKENS = ("id", "name", "key", "last", "edited", "by", "valid", "from"
 
 
 def counts(profiles: DataFrame) -> DataFrame:
-    """Per table: columns, key columns, metrics and dates."""
+    """Per table: columns, columns outside all declared keys, metrics and dates."""
     when = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     return profiles.groupBy("table").agg(
         F.count("*").alias("n_columns"), when(F.col("role") == "metric").alias("n_metrics"), when(F.col("role") == "date").alias("n_dates"),
-        when(F.col("role") != "key").alias("n_non_key"), when(F.col("pk_pos").isNotNull()).alias("n_pk"), when(F.col("pk_pos").isNotNull() & F.col("fk_pos").isNotNull()).alias("n_pk_fk"),
+        when(F.col("pk_pos").isNull() & F.col("fk_pos").isNull()).alias("n_non_key"), when(F.col("pk_pos").isNotNull()).alias("n_pk"), when(F.col("pk_pos").isNotNull() & F.col("fk_pos").isNotNull()).alias("n_pk_fk"),
         F.max("n_rows").alias("n_rows_sampled"),
     )
 

@@ -65,6 +65,18 @@ def profile_catalog(catalog: Catalog, rows: int = 50, ordered: bool = False, max
     return reduce(DataFrame.unionByName, found) if found else catalog.spark.createDataFrame([], STATS)
 
 
+def coverage(profiles: DataFrame) -> DataFrame:
+    """One row: rows sampled of all tables (total, mean, most) and the number of tables."""
+    n = profiles.groupBy("table").agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("n"))
+    return n.agg(F.sum("n").alias("total"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.count("*").alias("tables"))
+
+
+def entity_tags(profiles: DataFrame, gazetteer) -> DataFrame:
+    """Profiles with the lower-cased entity labels of the column's name after its own tags."""
+    named = gazetteer.tag(profiles, "column")
+    return named.withColumn("tags", F.array_union("tags", F.transform("labels", F.lower))).drop("labels")
+
+
 def role(column: str = "column", kind: str = "kind", n_distinct: str = "n_distinct") -> Column:
     """The role of a column from (column, kind, pk_pos, fk_pos, n_distinct); the first rule that fits."""
     name = normalize_identifier(F.col(column))

@@ -12,9 +12,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import classify, profile, retrieve
 from ..operators import graph as g
-from ..sources.catalog import Catalog, fingerprint, time_limit
+from ..operators.ner import Gazetteer
+from ..sources.catalog import Catalog, ReflectionError, fingerprint, time_limit
 from . import execute, sqltools
 from .planner import Metadata, Plan
 
@@ -53,6 +55,8 @@ class Options:
     expander: str = "fk_following"
     strict_archives: bool = True
     promote_text: bool = False
+    entity_tags: bool = True
+    semantic_expansion: bool | None = None  # None: only with an embedder of the caller's, as the default one knows no synonyms
     seed_k: int | None = None
     row_limit: int = execute.ROW_LIMIT
     cell_chars: int = execute.CELL_CHARS
@@ -68,6 +72,7 @@ class Engine:
     def __init__(self, catalog: Catalog, options: Options | None = None, embedder=None):
         self.catalog, self.options, self.spark = catalog, options or Options(), catalog.spark
         self.embedder = embedder
+        self._semantic = (embedder is not None) if self.options.semantic_expansion is None else self.options.semantic_expansion
         self.status = Status()
         self.timings: dict[str, float] = {}
         self._thread: threading.Thread | None = None
@@ -97,12 +102,16 @@ class Engine:
             with time_limit(self.spark, o.sample_seconds and o.sample_seconds * max(1, len(self.catalog.names())), "profile"):
                 stats = profile.profile_catalog(self.catalog, o.sample_rows, o.ordered_sample, o.max_sampled_columns)
                 held = step("profile", lambda: self.spark.createDataFrame(stats.collect(), profile.STATS))  # one row per column
-            self.profiles = profile.column_profiles(self.columns, held, o.promote_text).coalesce(1).persist()
+            profiles = profile.column_profiles(self.columns, held, o.promote_text)
+            if o.entity_tags:
+                profiles = step("entities", lambda: profile.entity_tags(profiles, Gazetteer(self.spark)))
+            self.profiles = profiles.coalesce(1).persist()
             self.tables = step("classify", lambda: classify.tables(self.profiles, self.edges).coalesce(1).persist())
             self.meta = step("collect", lambda: Metadata.collect(self.tables, self.profiles, self.edges))
             self._hash = fingerprint([self.catalog.reflection_hash(), repr(o)])
             self.__dict__.pop("index", None)
             self.__dict__.pop("vectors", None)
+            self.__dict__.pop("lexicon", None)
         except Exception as e:
             self.status = replace(self.status, phase=Phase.FAILED, error=str(e)[:500], completed_at=time.time())
             raise
@@ -168,6 +177,14 @@ class Engine:
         except (RuntimeError, OSError, ValueError):
             return None
 
+    @cached_property
+    def lexicon(self) -> DataFrame | None:
+        """Tokens of the embedded table texts with their mean vectors, for words that mean nearly the same."""
+        if self.vectors is None:
+            return None
+        words = retrieve.table_texts(self.profiles, self.tables).select("item", tokens(F.col("text")).alias("tokens"))
+        return retrieve.lexicon(self.vectors[0].join(words, "item")).coalesce(1).persist()
+
     def prime(self) -> None:
         self.index.count()
         if self.vectors:
@@ -183,11 +200,12 @@ class Engine:
         vectors = None if approach == "lexical" else self.vectors
         if q.isEmpty():
             return self.spark.createDataFrame([], "item string, score double")
-        expanded = retrieve.expand(q)
+        v = self.embedder.vector(self.spark, query) if vectors is not None else None
+        expanded = retrieve.expand(q, self.lexicon, v) if v is not None and self._semantic else retrieve.expand(q)
+        expanded = self.spark.createDataFrame(expanded.collect(), expanded.schema)  # a sentence's words, asked for several times below
         lex = retrieve.lexical(self.index, q, expanded)
         if vectors is None:
             return retrieve.without_archives(retrieve.top(lex, max(3 * k, 50)), k, strict)
-        v = self.embedder.vector(self.spark, query)
         if approach == "emb_column":
             hits = retrieve.knn(vectors[1], v, 50)
             return retrieve.without_archives(retrieve.by_table(hits, F.split("item", "::")[0]), k, strict)
@@ -273,10 +291,26 @@ class Engine:
     def to_json(self) -> str:
         return json.dumps(self.card(), indent=2, default=str)
 
+    @classmethod
+    def load(cls, catalog: Catalog, path: str, options: Options | None = None, embedder=None) -> Engine:
+        """An engine over a saved card, ready without reading the data. A card of other tables or keys is refused."""
+        e, at = cls(catalog, options, embedder), path.rstrip("/")
+        kept = catalog.spark.read.parquet(f"{at}/card").first()
+        if kept["reflection_hash"] != catalog.reflection_hash():
+            raise ReflectionError("the card describes other tables or keys; build anew")
+        e.columns = catalog.columns()
+        e.profiles, e.tables, e.edges = (catalog.spark.read.parquet(f"{at}/{name}").coalesce(1).persist() for name in ("columns", "tables", "edges"))
+        e.meta = Metadata.collect(e.tables, e.profiles, e.edges)
+        e._hash = fingerprint([kept["reflection_hash"], repr(e.options)])
+        e.status = Status(Phase.READY, 0, None, kept["built_at"])
+        return e
+
     def save(self, path: str) -> None:
-        """The card as four Parquet tables."""
+        """The card as five Parquet tables."""
         for name, df in (("tables", self.tables), ("columns", self.profiles), ("edges", self.edges), ("areas", classify.areas(self.tables))):
             df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        about = [(self.catalog.reflection_hash(), self.status.completed_at)]
+        self.spark.createDataFrame(about, "reflection_hash string, built_at double").write.mode("overwrite").parquet(f"{path.rstrip('/')}/card")
 
 
 def engine(spark: SparkSession, path: str, names: list[str], manifest=None, **options) -> Engine:

@@ -197,7 +197,8 @@ class Catalog:
 
     def sample(self, name: str, columns: list[str] | None = None, rows: int = 50, *, ordered: bool = False, max_columns: int = 15, seconds: float | None = None) -> DataFrame:
         """The first ``rows`` rows of the first ``max_columns`` columns that are no large objects. ``ordered`` takes the
-        first by primary key (or by all columns), which reruns repeat."""
+        first by primary key (or by all columns), which reruns repeat. With ``seconds`` the rows are read at once, and
+        SamplingError tells of a read that took longer."""
         df = self.table(name)
         fields = [f for f in df.schema.fields if columns is None or f.name in columns][:max_columns]
         take = [f.name for f in fields if kind_of(f.dataType) != "lob"]
@@ -206,7 +207,14 @@ class Catalog:
         if ordered:
             pk = self.manifest.primary.get(name.split(".")[-1])
             df = df.orderBy(*(pk or [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]))
-        return df.select(*take).limit(rows)
+        out = df.select(*take).limit(rows)
+        if not seconds:
+            return out
+        try:
+            with time_limit(self.spark, seconds, f"sample {name}"):
+                return self.spark.createDataFrame(out.collect(), out.schema)  # ``rows`` rows at most
+        except Exception as e:
+            raise SamplingError(f"no sample of {name} within {seconds} seconds") from e
 
 
 def databases(spark: SparkSession, include: list[str] | None = None, exclude: list[str] | None = None) -> list[str]:

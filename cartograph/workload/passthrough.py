@@ -6,7 +6,7 @@ QUERIES = {
     "sql_inner_join": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "sql_left_join": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "sql_right_join": "SELECT s_suppkey, count(l_orderkey) AS n FROM lineitem RIGHT JOIN supplier ON s_suppkey = l_suppkey AND l_quantity > 49 GROUP BY s_suppkey",
-    "sql_full_join": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, l.quality FROM (SELECT doc_id FROM documents WHERE doc_id < 200) d FULL OUTER JOIN (SELECT doc_id, quality FROM labels WHERE doc_id > 100) l ON d.doc_id = l.doc_id",
+    "sql_full_join": "SELECT coalesce(l.doc_id, e.vec_id) AS id, l.quality, e.label FROM labels l FULL OUTER JOIN embeddings e ON l.doc_id = e.vec_id",
     "sql_cross_join": "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b",
     "sql_natural_join": "SELECT doc_id, quality, lang FROM documents NATURAL JOIN labels",
     "sql_self_join": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
@@ -26,7 +26,7 @@ QUERIES = {
     "sql_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "sql_median_mode": "SELECT l_returnflag, median(l_quantity) AS med, min(l_shipdate) AS first_date FROM lineitem GROUP BY l_returnflag",
     "sql_ranking": "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS rnk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders",
-    "sql_analytic": "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev, ntile(4) OVER (ORDER BY o_orderkey) AS quarter FROM orders WHERE o_custkey < 300",
+    "sql_analytic": "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS quarter FROM orders",
     "sql_frame": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s FROM events",
     "sql_qualify": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1",
     "sql_order_limit": "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 10 OFFSET 5",
@@ -35,7 +35,7 @@ QUERIES = {
     "sql_union_all": "SELECT lang FROM documents UNION ALL SELECT role FROM conversations",
     "sql_intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000",
     "sql_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
-    "sql_except_all": "SELECT lang AS k FROM documents EXCEPT ALL SELECT lang FROM documents WHERE doc_id < 100",
+    "sql_except_all": "SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer",
     "sql_cte": "WITH spend AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT c_mktsegment, round(avg(s), 4) AS avg_spend FROM spend JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment",
     "sql_recursive": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t",
     "sql_strings": "SELECT p_partkey, upper(p_brand) AS u, length(p_name) AS n, substring(p_type, 1, 3) AS s, replace(p_brand, 'Brand', 'B') AS r, concat(p_brand, '-', p_type) AS c, trim(p_name) AS t FROM part",
@@ -49,6 +49,18 @@ QUERIES = {
     "sql_q5_regions": "SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
 }
 
+#: Spark SQL whose wording differs elsewhere, with the same meaning in plain SQL.
+WORDED = {
+    "sql_pivot": ("SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (sum(l_quantity) FOR l_linestatus IN ('O' AS qty_o, 'F' AS qty_f))", "SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'O') AS qty_o, sum(l_quantity) FILTER (l_linestatus = 'F') AS qty_f FROM lineitem GROUP BY l_returnflag"),
+    "sql_unpivot": ("SELECT doc_id, k, v FROM labels UNPIVOT INCLUDE NULLS (v FOR k IN (quality, toxic))", "SELECT doc_id, 'quality' AS k, quality AS v FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels"),
+    "sql_range_frame": ("SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '30' DAY PRECEDING AND CURRENT ROW) AS recent FROM orders", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS recent FROM orders"),
+    "sql_percentiles": ("SELECT l_returnflag, percentile(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag"),
+    "sql_arrays": ("SELECT n_regionkey, size(collect_list(n_name)) AS n, array_join(sort_array(collect_list(n_name)), '|') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(count(*) AS INTEGER) AS n, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
+    "sql_json": ("SELECT n_nationkey, get_json_object(to_json(named_struct('name', n_name)), '$.name') AS name FROM nation", "SELECT n_nationkey, n_name AS name FROM nation"),
+    "sql_map": ("SELECT n_nationkey, element_at(map('key', n_regionkey), 'key') AS k FROM nation", "SELECT n_nationkey, n_regionkey AS k FROM nation"),
+    "sql_last_by": ("SELECT o_custkey, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY o_custkey"),
+}
+
 #: Texts of other dialects, with what they mean in plain SQL.
 DIALECTS = {
     "dialect_top": ("SELECT TOP 5 n_name FROM nation ORDER BY n_name", "SELECT n_name FROM nation ORDER BY n_name LIMIT 5"),

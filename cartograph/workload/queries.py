@@ -59,7 +59,7 @@ DEGREES = (
     "near AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), names AS (SELECT DISTINCT tbl FROM cols), "
     "degrees AS (SELECT n.tbl, (SELECT count(DISTINCT src) FROM edges WHERE dst = n.tbl) AS in_degree, (SELECT count(DISTINCT dst) FROM edges WHERE src = n.tbl) AS out_degree, (SELECT count(*) FROM near WHERE a = n.tbl) / 13.0 AS centrality FROM names n)"
 )
-COUNTS = "counts AS (SELECT tbl, count(*) AS n_columns, count(*) FILTER (role = 'metric') AS n_metrics, count(*) FILTER (role = 'date') AS n_dates, count(*) FILTER (role <> 'key') AS n_non_key, count(pk_pos) AS n_pk, count(*) FILTER (pk_pos IS NOT NULL AND fk_pos IS NOT NULL) AS n_pk_fk FROM roles GROUP BY tbl)"
+COUNTS = "counts AS (SELECT tbl, count(*) AS n_columns, count(*) FILTER (role = 'metric') AS n_metrics, count(*) FILTER (role = 'date') AS n_dates, count(*) FILTER (pk_pos IS NULL AND fk_pos IS NULL) AS n_non_key, count(pk_pos) AS n_pk, count(*) FILTER (pk_pos IS NOT NULL AND fk_pos IS NOT NULL) AS n_pk_fk FROM roles GROUP BY tbl)"
 KINDS = (
     "kinds AS (SELECT tbl, n_metrics, n_dates, in_degree, out_degree, centrality, CASE WHEN n_pk >= 2 AND n_pk = n_pk_fk AND n_non_key <= 1 AND in_degree + out_degree >= 2 THEN 'bridge' WHEN n_metrics >= 2 AND n_dates >= 1 AND in_degree + out_degree >= 2 THEN 'fact' "
     "WHEN in_degree >= 2 AND n_metrics <= 1 AND n_pk = 1 THEN 'dimension' WHEN n_columns <= 4 AND n_metrics = 0 AND in_degree + out_degree >= 1 THEN 'reference' ELSE 'operational' END AS archetype FROM counts JOIN degrees USING (tbl))"
@@ -133,9 +133,9 @@ def _stats(df: DataFrame) -> DataFrame:
     )
 
 
-@query(_stats_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"], {"o_orderkey", "o_custkey", "o_totalprice"}))
+@query(_stats_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], {"o_orderkey", "o_custkey", "o_totalprice"}))
 def profile_orders(spark, sf):
-    return _stats(catalog(spark, sf).table("orders").drop("o_orderdate"))
+    return _stats(catalog(spark, sf).table("orders"))
 
 
 @query(_stats_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"], {"doc_id", "n_chars"}))
@@ -353,6 +353,11 @@ def find_columns(spark, sf):
     return retrieve.find_columns(engine(spark, sf).profiles, "key comment", 1000).select(F.col("table").alias("table_key"), F.col("column").alias("col"), "score")
 
 
+@query("SELECT sum(n) AS total, avg(n) AS mean, max(n) AS most, count(*) AS tables FROM (" + " UNION ALL ".join(f"SELECT least(count(*), 50) AS n FROM {t}" for t in NUMERIC) + ")")
+def sample_coverage(spark, sf):
+    return profile.coverage(engine(spark, sf).profiles)
+
+
 @query()
 def find_tables(spark, sf):
     return engine(spark, sf).scores("orders of customers by segment", "combo", 8)
@@ -410,9 +415,9 @@ def join_plan(spark, sf):
     return spark.createDataFrame([(s.from_table, s.to_table, ",".join(f"{a}={b}" for a, b in s.pairs)) for s in p.join_plan], "from_table string, to_table string, pairs string")
 
 
-@query(WITH + "SELECT e.src AS from_table, e.dst AS to_table, CAST(round(CASE WHEN 'main.lineitem' IN (e.src, e.dst) THEN 1.0 ELSE 0 END + CASE WHEN a.archetype = 'fact' AND b.archetype = 'dimension' THEN 0.2 ELSE 0 END - CASE WHEN a.archetype = 'dimension' AND b.archetype = 'dimension' THEN 0.2 ELSE 0 END, 6) AS DOUBLE) AS score FROM edges e JOIN flags a ON a.tbl = e.src JOIN flags b ON b.tbl = e.dst WHERE e.src IN ('main.lineitem', 'main.orders', 'main.customer', 'main.part') AND e.dst IN ('main.lineitem', 'main.orders', 'main.customer', 'main.part')")
+@query(WITH + "SELECT e.src AS from_table, e.dst AS to_table, CAST(round(CASE WHEN 'main.lineitem' IN (e.src, e.dst) THEN 1.0 ELSE 0 END + CASE WHEN a.archetype = 'fact' AND b.archetype = 'dimension' THEN 0.2 ELSE 0 END - CASE WHEN a.archetype = 'dimension' AND b.archetype = 'dimension' THEN 0.2 ELSE 0 END + CASE WHEN 'main.customer' IN (e.src, e.dst) THEN 0.2 ELSE 0 END, 6) AS DOUBLE) AS score FROM edges e JOIN flags a ON a.tbl = e.src JOIN flags b ON b.tbl = e.dst WHERE e.src IN ('main.lineitem', 'main.orders', 'main.customer', 'main.part') AND e.dst IN ('main.lineitem', 'main.orders', 'main.customer', 'main.part')")
 def join_examples(spark, sf):
-    found = engine(spark, sf).meta.join_examples(TABLES, "main.lineitem", 100, "zzz")
+    found = engine(spark, sf).meta.join_examples(TABLES, "main.lineitem", 100, "partkey of a customer")
     return spark.createDataFrame([(x["from_table"], x["to_table"], float(x["score"])) for x in found], "from_table string, to_table string, score double")
 
 
@@ -475,7 +480,7 @@ def _pass(text: str):
 
 for _name, _text in passthrough.QUERIES.items():
     QUERIES[_name], SQL[_name] = _pass(_text), _text
-for _name, (_text, _meaning) in passthrough.DIALECTS.items():
+for _name, (_text, _meaning) in (passthrough.WORDED | passthrough.DIALECTS).items():
     QUERIES[_name], SQL[_name] = _pass(_text), _meaning
 
 

@@ -216,3 +216,40 @@ def test_guard_checks_every_relation(spark, engine, sf):
         assert sqltools.refusal(spark, sql, known), sql
     for sql in ("select * from region, nation", "with secret as (select 1 a) select * from secret, region", "select * from no_such_table"):
         assert sqltools.refusal(spark, sql, known) is None, sql
+
+
+def test_entity_tags_and_lexicon(engine):
+    tags = {r["column"]: r["tags"] for r in engine.profiles.collect()}
+    assert "currency" not in tags["l_tax"] and all(t == t.lower() for ts in tags.values() for t in ts)
+    assert {r.token for r in engine.lexicon.collect()} >= {"lineitem", "orders"}
+    q, v = retrieve.query_tokens(engine.spark, "orders"), engine.embedder.vector(engine.spark, "orders")
+    own, more = ({r.token: r.q for r in x.collect()} for x in (retrieve.expand(q), retrieve.expand(q, engine.lexicon, v)))
+    assert set(own) < set(more) and len(more) <= len(own) + 16
+    assert engine.scores("orders of customers", "combo", 3).count() == 3
+
+
+def test_entity_tags_follow_own_tags(spark):
+    rows = spark.createDataFrame([("t", "customer_name", ["email"]), ("t", "zzz", [])], "table string, column string, tags array<string>")
+    got = {r["column"]: r["tags"] for r in profile.entity_tags(rows, Gazetteer(spark)).collect()}
+    assert got == {"customer_name": ["email", "person"], "zzz": []}
+
+
+def test_saved_card_opens_without_a_build(spark, engine, tmp_path):
+    engine.save(str(tmp_path / "card"))
+    again = Engine.load(engine.catalog, str(tmp_path / "card"), engine.options)
+    assert again.status.phase is Phase.READY and again.status.attempts == 0 and not again.refresh()
+    assert again.get_table_info("main.orders") == engine.get_table_info("main.orders")
+    with pytest.raises(cat.ReflectionError):
+        Engine.load(cat.Catalog.from_folder(spark, "/root/testdata/sf0.01", ["region"]), str(tmp_path / "card"))
+
+
+def test_sample_limit(spark, engine, monkeypatch):
+    assert engine.catalog.sample("region", seconds=60).count() == 5
+    slow = spark.range(4).selectExpr("id", "reflect('java.lang.Thread', 'sleep', 20000L) AS z")
+    with pytest.raises(cat.SamplingError):
+        cat.Catalog(spark, {"slow": lambda: slow.selectExpr("CAST(java_method('java.lang.String', 'valueOf', id) AS STRING) AS v", "z")}).sample("slow", seconds=1)
+
+
+def test_columns_outside_declared_keys(spark):
+    rows = spark.createDataFrame([("b", "x_id", "key", 0, 0, 5), ("b", "y_id", "key", 1, 1, 5), ("b", "free_id", "key", None, None, 5)], "table string, column string, role string, pk_pos int, fk_pos int, n_rows int")
+    assert classify.counts(rows).first().n_non_key == 1
