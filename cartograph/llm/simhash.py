@@ -195,18 +195,17 @@ def alike(p: np.ndarray, q: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(p) + len(q) - both)
 
 
-def _decided(run: np.ndarray, ids: np.ndarray, x: np.ndarray, block: np.ndarray, group: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def _decided(run: np.ndarray, ids: np.ndarray, x: np.ndarray, key: np.ndarray, group: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that join all rows of a run and of different groups that are alike by their sets; a pair is left to the
-    first block that it shares."""
+    first key that it shares. ``x`` has the fingerprint and then the keys of each row, ``key`` the one it is here for."""
     found = [np.zeros((3, 0), np.int64)]
     for i, j, _ in _pairs(run, x[:, : CHECKED // 64], most_bits(similarity, CHECKED), group):
         for lo in range(0, len(i), 10_000):
             a, b = i[lo : lo + 10_000], j[lo : lo + 10_000]
-            differ = x[a] ^ x[b]
-            d = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+            d = np.bitwise_count(x[a, :WORDS] ^ x[b, :WORDS]).sum(axis=1, dtype=np.int64)
             ok = np.flatnonzero(d <= most_bits(similarity, 64 * WORDS))
-            same = ~np.unpackbits(differ[ok].view(np.uint8), axis=1)[:, : BLOCKS * BLOCK_BITS].reshape(len(ok), BLOCKS, BLOCK_BITS).any(axis=2)
-            ok = ok[same.argmax(axis=1) == block[a[ok]]]
+            same = x[a[ok], WORDS:] == x[b[ok], WORDS:]
+            ok = ok[x[a[ok], WORDS + same.argmax(axis=1)] == key[a[ok]]]
             found.append(np.stack([a[ok], b[ok], d[ok]]))
     e = np.concatenate(found, axis=1)
     e = e[:, np.lexsort((ids[e[1]], ids[e[0]], e[2]))]
@@ -339,10 +338,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 4, id_col: st
 
 # Similarity of 0.8 and less: long fingerprints
 
-#: Blocks of a long fingerprint and bits of each, the same at every size of the corpus: pairs at a similarity of 0.8 share a
-#: block with probability 0.93, at 0.85 0.99.
-BLOCKS, BLOCK_BITS = 96, 22
-WORDS = -(-BLOCKS * BLOCK_BITS // 64)
+#: Words of a long fingerprint, with a key each, and bits of it in a key, the same at every size of the corpus: pairs at a
+#: similarity of 0.8 share a key with probability 0.997. Bits alone would make unrelated texts meet, in numbers that grow
+#: with the square of the corpus; a key also holds two shingles' hashes, and texts without a common shingle share none.
+WORDS, BLOCK_BITS = 32, 8
 #: Bits compared within a block, before all of them are.
 CHECKED = 128
 #: Candidates lie within so many standard errors of the bits that differ at the wanted similarity.
@@ -361,17 +360,35 @@ def wide_of(h: np.ndarray, words: int) -> bytes:
     if not len(h):
         return bytes(8 * words)
     total = np.zeros(64 * words, np.int64)
-    for lo in range(0, len(h), 10_000):
-        z = h[lo : lo + 10_000, None] + _GOLDEN * np.arange(1, words + 1, dtype=np.uint64)
-        z ^= z >> np.uint64(30)
-        z *= np.uint64(0xBF58476D1CE4E5B9)
-        z ^= z >> np.uint64(27)
-        z *= np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
+    for z in _of_words(h, words):
         total += _bit_sums(z.view(np.uint8))
     return np.packbits(2 * total > len(h)).tobytes()
 
 
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
+
+
+def _of_words(h: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """The hashes (a row each) that each word (a column) has of them, 10,000 rows at a time."""
+    for lo in range(0, len(h), 10_000):
+        yield _mixed(h[lo : lo + 10_000, None] + _GOLDEN * np.arange(1, words + 1, dtype=np.uint64))
+
+
+def block_keys(h: np.ndarray, wide: bytes) -> np.ndarray:
+    """The key of each word of a long fingerprint: the word's low bits, the least and the greatest of its hashes."""
+    bits = np.frombuffer(wide, np.uint64) & np.uint64((1 << BLOCK_BITS) - 1)
+    low, high = np.full(len(bits), 2**64 - 1, np.uint64), np.zeros(len(bits), np.uint64)
+    for z in _of_words(h, len(bits)):
+        low, high = np.minimum(low, z.min(axis=0)), np.maximum(high, z.max(axis=0))
+    return _mixed(_mixed(_mixed(low + _GOLDEN * np.arange(len(bits), dtype=np.uint64)) ^ high) ^ bits)
+
+
 def differing(similarity: float) -> float:
     """Expected share of differing bits at a Jaccard similarity of sets of one size; of unequal ones fewer differ."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -383,8 +400,9 @@ def most_bits(similarity: float, bits: int) -> int:
 
 
 def recall(similarity: float) -> float:
-    """Probability that two texts of this similarity share a block."""
-    return 1 - (1 - (1 - differing(similarity)) ** BLOCK_BITS) ** BLOCKS
+    """Probability that two texts of this similarity share a key: the least and the greatest hash are common ones, each with
+    the probability of the similarity, and the bits agree."""
+    return 1 - (1 - similarity**2 * (1 - differing(similarity)) ** BLOCK_BITS) ** WORDS
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -417,31 +435,27 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         import xxhash
 
         for batch in batches:
-            w, one, two = [], [], []
+            w, of, one, two = [], [], [], []
             for k in range(batch.num_rows):
                 h = np.unique(shingle_hashes(batch.column(2)[k].as_py(), shingle).astype(np.uint64))
                 w.append(wide_of(h, WORDS))
+                of.append(block_keys(h, w[-1]).tobytes())
                 whole = xxhash.xxh3_128_intdigest(h.tobytes())
                 one.append(signed(whole >> 64))
                 two.append(signed(whole & ((1 << 64) - 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(w, pa.binary())], ["row", "order", "h1", "h2", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(w, pa.binary()), pa.array(of, pa.binary())], ["row", "order", "h1", "h2", "wide", "keys"])
 
     kind = next(f.dataType.simpleString() for f in d.schema if f.name == "order")
-    fps = materialize(d.mapInArrow(prints, f"row long, order {kind}, h1 long, h2 long, wide binary"))
+    fps = materialize(d.mapInArrow(prints, f"row long, order {kind}, h1 long, h2 long, wide binary, keys binary"))
     firsts = materialize(fps.groupBy("h1", "h2").agg(F.min("row").alias("fp"), F.min(F.struct("order", "row")).alias("first")))
-    wide = materialize(fps.select(F.col("row").alias("fp"), "wide").join(firsts.select("fp"), "fp"))
+    wide = materialize(fps.select(F.col("row").alias("fp"), "wide", "keys").join(firsts.select("fp"), "fp"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                n = part.num_rows
-                x = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1), axis=1)
-                k = x[:, : BLOCK_BITS * BLOCKS].reshape(n, BLOCKS, BLOCK_BITS).astype(np.int64) @ weight + (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), BLOCKS))], ["key", "fp"])
-
-    keyed = wide.select("fp", "wide").mapInArrow(keys, "key long, fp long")
+            k = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(batch.column(0).to_numpy(), WORDS))], ["key", "fp"])
+
+    keyed = wide.select("fp", "keys").mapInArrow(keys, "key long, fp long")
     bits = wide.select("fp", F.substring("wide", 1, CHECKED // 8).alias("bits"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,9 +470,9 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs, ids, x, rows in _runs(batches):
-            block = rows.column(0).to_numpy().astype(np.int64) >> BLOCK_BITS
+            key = rows.column(0).to_numpy().astype(np.int64).view(np.uint64)
             sets = [np.frombuffer(v.as_buffer() or b"", np.uint64) for v in rows.column(6)]
-            found = _decided(runs, ids, x, block, rows.column(5).to_numpy().astype(np.int64), sets, similarity)
+            found = _decided(runs, ids, x, key, rows.column(5).to_numpy().astype(np.int64), sets, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], ["a", "b"])
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -511,7 +525,7 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     free(groups, found, pairs, stars, shared)
     groups = grouped(done.where("ok"))
     if not rows.isEmpty():
-        has = wide.select("fp", F.col("wide").alias("bits")).join(groups, "fp").join(sets, "fp")
+        has = wide.select("fp", F.concat("wide", "keys").alias("bits")).join(groups, "fp").join(sets, "fp")
         more = _dealt(_across(rows.join(groups, "fp"), RUN // 4), has, "group", "set").mapInArrow(decide, "a long, b long")
         done = done.where("ok").select("a", "b").union(materialize(more))
         free(groups)
@@ -526,8 +540,8 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col:
     ``similarity`` or more.
 
     At 0.8, a tenth to a sixth of the bits differ, too many for blocks that catch all of them, so the fingerprint is
-    long and has ``BLOCKS`` blocks, which find a pair with the probability ``recall``. Pairs whose bits say that they may
-    be alike are candidates; no two texts are linked but by their shingles.
+    long and has a key for each of its ``WORDS`` words, which find a pair with the probability ``recall``. Pairs whose
+    bits say that they may be alike are candidates; no two texts are linked but by their shingles.
 
     Cases: null ids and repeated ids are rows of their own (a component's id is its least one that is not null); a null or
     empty text is like any other; ties and repeated rows share a class; an empty table gives no rows; other columns are

@@ -60,3 +60,31 @@ def test_the_nearest_pair_by_bits_is_not_the_only_try(spark, monkeypatch):
 
     monkeypatch.setattr(simhash, "wide_of", bits)
     assert components(spark, list(enumerate(texts))) == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
+def test_unrelated_texts_meet_under_no_key():
+    """Keys of bits alone are shared by chance, in numbers that grow with the square of the corpus."""
+    rnd = random.Random(6)
+    hashes = [np.array(sorted(rnd.getrandbits(64) for _ in range(20)), np.uint64) for _ in range(10_000)]
+    found = np.concatenate([simhash.block_keys(h, simhash.wide_of(h, simhash.WORDS)) for h in hashes])
+    assert len(np.unique(found)) == len(found)
+
+
+def test_alike_texts_meet_under_a_key_as_often_as_said():
+    rng = np.random.default_rng(7)
+    keys = lambda h: simhash.block_keys(h, simhash.wide_of(h, simhash.WORDS))
+    met = []
+    for _ in range(1000):  # 160 common hashes of 200
+        h = rng.integers(0, 2**64, 200, np.uint64)
+        met.append(int((keys(h[:180]) == keys(h[20:])).sum()))
+    each = 1 - (1 - simhash.recall(0.8)) ** (1 / simhash.WORDS)
+    assert abs(np.mean(met) - simhash.WORDS * each) < 0.05 * simhash.WORDS * each and np.mean([m > 0 for m in met]) >= 0.99
+
+
+def test_pairs_of_cut_keys_are_decided_in_one_of_them(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RUN", 4)
+    rnd = random.Random(8)
+    base = words(rnd, 200)
+    rows = [(i, " ".join(f"x{i}" if k == 4 * i else w for k, w in enumerate(base))) for i in range(40)]
+    rows += [(100 + i, " ".join(words(rnd, 200))) for i in range(10)]
+    assert components(spark, rows) == {**dict.fromkeys(range(40), 0), **{100 + i: 100 + i for i in range(10)}}
