@@ -29,7 +29,7 @@ class PieceEncoder:
     space before it: a line break as it is, a space left out.
     """
 
-    def __init__(self, path: str, keep: int = 700_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 350_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

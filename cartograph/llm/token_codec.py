@@ -3,15 +3,16 @@
 Model. Before each id, an order-2 and an order-1 table (keyed by the last two ids, the last id) each predict one id with
 a confidence of 0 to 3; order 0 is the distribution of ids in the frame. The three are mixed at the level of ids:
 ``P = q2 [x = p2] + (1 - q2) (q1 [x = p1] + (1 - q1) P0)``, where the weights q2, q1 are adaptive and depend on both
-confidences and on whether the predictions agree. The mixture drives a 64-bit carry-less range coder with 16-bit output.
+confidences and on whether the predictions agree. The mixture drives a 64-bit carry-less range coder with 32-bit output,
+so that a step puts out one word of a lane at most.
 
 Blocks. Each block of ``BLOCK`` ids starts from reset tables, weights and coder, has its own CRC-32 and can be decoded
 with nothing but the frame's header. Blocks of a frame are coded in lockstep, one NumPy lane each.
 
 Frame (little-endian), one per row of the written table:
-  4 bytes magic ``CGT1``; u32 header length; header (zlib): u64 first start, u32 documents, u32 distinct ids,
+  4 bytes magic ``CGT2``; u32 header length; header (zlib): u64 first start, u32 documents, u32 distinct ids,
   per document i64 doc_id and u64 ids; distinct ids u16 and their frequencies u16 (sum 65536, 0 stands for 65536);
-  u32 crc of the header; u32 blocks; then per block u32 ids, u32 crc of the ids (as u32) and the payload, u32 payload words; then the payloads (u16).
+  u32 crc of the header; u32 blocks; then per block u32 ids, u32 crc of the ids (as u32) and the payload, u32 payload words; then the payloads (u32).
 A wrong magic, header or block raises ``CorruptFrame``.
 """
 
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import shared_dir, text_or_empty
 
-MAGIC = b"CGT1"
+MAGIC = b"CGT2"
 NO_ID = -(2**63)  # stands for a null doc_id
 BLOCK = 4096
 FRAME_IDS = 8_000_000
 _SLOTS = 12  # bits of a table's index
-_TOP, _BOT, _U = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64
-_S16, _S28, _S48, _M28, _ONE = _U(16), _U(28), _U(48), _U((1 << 28) - 1), _U(1)
+_BOT, _U = np.uint64(1 << 32), np.uint64
+_S16, _S28, _S32, _M28, _M32, _ONE = _U(16), _U(28), _U(32), _U((1 << 28) - 1), _U((1 << 32) - 1), _U(1)
 
 
 class CorruptFrame(ValueError):
@@ -51,8 +52,8 @@ class _Model:
         self.t1 = np.full(lanes << _SLOTS, 0xFFFF, np.uint32)
         self.q2 = np.full(lanes << 5, 1024, np.int32)
         self.q1 = np.full(lanes << 5, 1024, np.int32)
-        self.base = np.arange(lanes, dtype=np.uint32) << np.uint32(_SLOTS)
-        self.qbase = np.arange(lanes, dtype=np.int32) << 5
+        self.base = np.arange(lanes, dtype=np.int64) << _SLOTS
+        self.qbase = np.arange(lanes, dtype=np.int64) << 5
         self.a = np.zeros(lanes, np.uint32)  # last id
         self.b = np.zeros(lanes, np.uint32)  # the one before
 
@@ -62,20 +63,21 @@ class _Model:
         self.i2 = self.base + ((h1 ^ (self.b * np.uint32(2246822519))) * np.uint32(3266489917) >> np.uint32(32 - _SLOTS))
         self.e2, self.e1 = self.t2.take(self.i2), self.t1.take(self.i1)
         self.p2, self.p1 = self.e2 & np.uint32(0xFFFF), self.e1 & np.uint32(0xFFFF)
-        c = ((self.e2 >> np.uint32(16)) << np.uint32(3)) + ((self.e1 >> np.uint32(16)) << np.uint32(1)) + (self.p1 == self.p2)
-        self.iq = self.qbase + c.astype(np.int32)
+        self.c2, self.c1 = self.e2 >> np.uint32(16), self.e1 >> np.uint32(16)
+        self.iq = self.qbase + ((self.c2 << np.uint32(3)) + (self.c1 << np.uint32(1)) + (self.p1 == self.p2))
         self.w2, self.w1 = self.q2.take(self.iq), self.q1.take(self.iq)
         # the weights stay within 32 and 4064 of 4096, so that each of the three shares is 1 at least
         return self.w2, (((4094 - self.w2) * self.w1) >> 12) + 1
 
     def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """q2 learns from each id, q1 from those that p2 misses; a table replaces a prediction when confidence is out."""
-        self.q2[self.iq] = self.w2 + ((hit2 * 4032 + 32 - self.w2) >> 5)
-        self.q1[self.iq] = self.w1 + (((hit1 * 4032 + 32 - self.w1) >> 5) * ~hit2)
-        for t, i, e, hit in ((self.t2, self.i2, self.e2, hit2), (self.t1, self.i1, self.e1, self.p1 == x)):
-            sure = e >> np.uint32(16)
-            up = e + (np.uint32(1 << 16) * (sure < 3))
-            down = np.where(sure >= 2, e - np.uint32(1 << 16), x | np.uint32(1 << 16))
+        most = np.int32(4032)
+        self.q2[self.iq] = self.w2 + ((hit2 * most + 32 - self.w2) >> 5)
+        self.q1[self.iq] = self.w1 + (((hit1 * most + 32 - self.w1) >> 5) * ~hit2)
+        first = x | np.uint32(1 << 16)
+        for t, i, e, c, hit in ((self.t2, self.i2, self.e2, self.c2, hit2), (self.t1, self.i1, self.e1, self.c1, self.p1 == x)):
+            up = e + (np.uint32(1 << 16) * (c < 3))
+            down = np.where(c >= 2, e - np.uint32(1 << 16), first)
             t[i] = np.where(hit, up, down)
         self.b = self.a
         self.a = x
@@ -94,8 +96,14 @@ def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sym, f
 
 
+def _settled(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges below 2^32, cut where their ends differ in the upper 32 bits; those of ``low`` may go out then."""
+    end = low + rng
+    return low, np.where((low ^ end) < _BOT, rng, (~low + _ONE) & _M32)
+
+
 def encode_blocks(ids: np.ndarray, sym: np.ndarray, f: np.ndarray) -> list[np.ndarray]:
-    """The payload (u16 words) of each block of ``ids``."""
+    """The payload (u32 words) of each block of ``ids``."""
     lanes = -(-len(ids) // BLOCK)
     if not lanes:
         return []
@@ -108,8 +116,8 @@ def encode_blocks(ids: np.ndarray, sym: np.ndarray, f: np.ndarray) -> list[np.nd
     cum[sym] = np.cumsum(f) - f
     m = _Model(lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    width = 2 * BLOCK + 64
-    out, pos = np.zeros(lanes * width, np.uint16), np.arange(lanes, dtype=np.int64) * width
+    width = steps
+    out, pos = np.zeros(lanes * width, np.uint32), np.arange(lanes, dtype=np.int64) * width
     for step in range(steps):
         x = grid[step]
         f0, f1 = m.predict()
@@ -123,25 +131,17 @@ def encode_blocks(ids: np.ndarray, sym: np.ndarray, f: np.ndarray) -> list[np.nd
         low += r * start
         rng = r * wide
         m.update(x, hit2, hit1)
-        live = None
-        while True:
-            lo, ra = (low, rng) if live is None else (low[live], rng[live])
-            settled = (lo ^ (lo + ra)) < _TOP
-            small = ~settled & (ra < _BOT)
-            go = np.flatnonzero(settled | small)
-            if not len(go):
-                break
-            cut = small[go]
-            live = go if live is None else live[go]
-            lo, ra = low[live], rng[live]
-            ra = np.where(cut, (~lo + _ONE) & (_BOT - _ONE), ra)
-            out[pos[live]] = lo >> _S48
-            pos[live] += 1
-            low[live] = lo << _S16
-            rng[live] = ra << _S16
+        go = np.flatnonzero(rng < _BOT)
+        if len(go):
+            lo, ra = _settled(low[go], rng[go])
+            at = pos[go]
+            out[at] = lo >> _S32
+            pos[go] = at + 1
+            low[go] = lo << _S32
+            rng[go] = ra << _S32
     done = []
     for k in range(lanes):
-        tail = np.array([(int(low[k]) >> s) & 0xFFFF for s in (48, 32, 16, 0)], np.uint16)
+        tail = np.array([int(low[k]) >> 32, int(low[k]) & 0xFFFFFFFF], np.uint32)
         done.append(np.concatenate([out[k * width : pos[k]], tail]))
     return done
 
@@ -156,12 +156,12 @@ def decode_blocks(payloads: list[np.ndarray], sizes: list[int], sym: np.ndarray,
     freq[sym] = f
     cum[sym] = np.cumsum(f) - f
     slot = np.repeat(sym.astype(np.uint32), f)
-    words = np.concatenate([*payloads, np.zeros(2 * BLOCK + 64, np.uint16)]).astype(np.uint64)
+    words = np.concatenate([*payloads, np.zeros(steps + 2, np.uint32)])
     pos = np.cumsum([0, *(len(p) for p in payloads)][:-1]).astype(np.int64)
     m = _Model(lanes)
     low, rng, code = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _S16) | words[pos]
+    for _ in range(2):
+        code = (code << _S32) | words[pos]
         pos += 1
     grid = np.zeros((steps, lanes), np.uint32)
     last = len(words) - 1
@@ -175,7 +175,7 @@ def decode_blocks(payloads: list[np.ndarray], sizes: list[int], sym: np.ndarray,
         hit1 = ~hit2 & (top < u0 + u1)
         rest = _U(4096) - u0 - u1
         base = (u0 + u1) << _S16
-        other = slot[np.where(hit2 | hit1, _U(0), (v - base) // rest).astype(np.int64) & 0xFFFF]
+        other = slot.take(((v - base) // rest).astype(np.int64) & 0xFFFF)  # any, where a prediction was right
         x = np.where(hit2, m.p2, np.where(hit1, m.p1, other))
         start = np.where(hit2, _U(0), np.where(hit1, u0 << _S16, base + rest * cum.take(x)))
         wide = np.where(hit2, u0 << _S16, np.where(hit1, u1 << _S16, rest * freq.take(x)))
@@ -183,22 +183,14 @@ def decode_blocks(payloads: list[np.ndarray], sizes: list[int], sym: np.ndarray,
         rng = np.maximum(r * wide, _ONE)
         grid[step] = x
         m.update(x, hit2, hit1)
-        live = None
-        for _ in range(5):  # an intact block needs no more
-            lo, ra = (low, rng) if live is None else (low[live], rng[live])
-            settled = (lo ^ (lo + ra)) < _TOP
-            small = ~settled & (ra < _BOT)
-            go = np.flatnonzero(settled | small)
-            if not len(go):
-                break
-            cut = small[go]
-            live = go if live is None else live[go]
-            lo, ra = low[live], rng[live]
-            ra = np.where(cut, (~lo + _ONE) & (_BOT - _ONE), ra)
-            code[live] = (code[live] << _S16) | words[np.minimum(pos[live], last)]
-            pos[live] += 1
-            low[live] = lo << _S16
-            rng[live] = ra << _S16
+        go = np.flatnonzero(rng < _BOT)
+        if len(go):
+            lo, ra = _settled(low[go], rng[go])
+            at = pos[go]
+            code[go] = (code[go] << _S32) | words[np.minimum(at, last)]
+            pos[go] = at + 1
+            low[go] = lo << _S32
+            rng[go] = ra << _S32
     return np.concatenate([grid[:n, k] for k, n in enumerate(sizes)])
 
 
@@ -213,8 +205,8 @@ def write_frame(docs: list[tuple[int, np.ndarray]], start: int) -> bytes:
     parts.append(struct.pack("<I", len(payloads)))
     for k, p in enumerate(payloads):
         own = ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4")
-        parts.append(struct.pack("<III", len(own), zlib.crc32(p.astype("<u2").tobytes(), zlib.crc32(own.tobytes())), len(p)))
-    return b"".join([*parts, *(p.astype("<u2").tobytes() for p in payloads)])
+        parts.append(struct.pack("<III", len(own), zlib.crc32(p.astype("<u4").tobytes(), zlib.crc32(own.tobytes())), len(p)))
+    return b"".join([*parts, *(p.astype("<u4").tobytes() for p in payloads)])
 
 
 def read_frame(frame: bytes) -> tuple[int, list[tuple[int, np.ndarray]]]:
@@ -237,8 +229,8 @@ def read_frame(frame: bytes) -> tuple[int, list[tuple[int, np.ndarray]]]:
         at += 8 + 12 * blocks
         payloads = []
         for _, _, w in index.tolist():
-            payloads.append(np.frombuffer(frame, "<u2", w, at))
-            at += 2 * w
+            payloads.append(np.frombuffer(frame, "<u4", w, at))
+            at += 4 * w
     except (struct.error, ValueError, zlib.error) as e:
         raise CorruptFrame(str(e)) from e
     sizes = index[:, 0].tolist()
@@ -272,6 +264,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
             state["frame"] += 1
             state["n"] = 0
             held.clear()
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.large_binary() if len(blob) > 2**31 - 1 else pa.binary()), strict=True)], ["file", "frame", "ids", "frame_bytes"])
 
         for batch in batches:

@@ -145,3 +145,15 @@ def test_pre_tokens():
     for _ in range(5000):
         t = "".join(rnd.choices(["a", " ", "  ", "\n", "▁", "é", "<s>", "\x00", "the", "ing"], k=rnd.randint(0, 12)))
         assert sum(token_counts.count_piece(sp, p) for p in token_counts.pre_tokens(t)) == len(sp.encode(t)), repr(t)
+
+
+def test_a_step_puts_out_one_word_at_most():
+    """Improbable ids only: no step of a lane may need more room than a word of 32 bits, nor ranges run dry."""
+    rng = np.random.default_rng(9)
+    ids = rng.permutation(np.arange(40_000, dtype=np.uint16))
+    ids[: len(ids) // 2] = np.where(rng.random(len(ids) // 2) < 0.9, 7, ids[: len(ids) // 2])
+    sym, f = token_codec._frequencies(ids)
+    words = token_codec.encode_blocks(ids, sym, f)
+    sizes = [min(token_codec.BLOCK, len(ids) - k * token_codec.BLOCK) for k in range(len(words))]
+    assert all(p.dtype == np.uint32 and len(p) <= n + 2 for p, n in zip(words, sizes, strict=True))
+    assert np.array_equal(token_codec.decode_blocks(words, sizes, sym, f), ids)
