@@ -6,11 +6,16 @@ pieces, put together. Texts are split, and their distinct pieces found, by Arrow
 up each distinct piece once, and the tokenizers library encodes those that it hasn't met lately, many in one call: as
 only their first ids start with a space or are a line break, the result is cut there. Runs of white space, with the
 pieces on either side, are encoded as they stand.
+
+Of a piece that ends in ASCII marks after a letter or digit, the marks are a pre-token of their own, so that its ids are
+those of its stem and of the marks. Stems of Latin letters alone are one pre-token, and go to the library's model directly.
 """
 
 from __future__ import annotations
 
+import re
 import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +25,24 @@ import pyarrow.compute as pc
 _WHITE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _PLAIN = rf"(?s)^\n?[^{_WHITE}](?:.*[^{_WHITE}])?$"
 _LEADING = rf"^[{_WHITE}]"
+#: ASCII marks but the apostrophe, which may start a contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+_STEM_END = re.compile(f"[0-9{_LATIN}]").match
+_WORD = re.compile(f"\n?[{_LATIN}]+").fullmatch
+
+
+def _visible() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary; for zero, which no word holds, a space."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, "<u2")
+    out[shown] = shown
+    out[[c for c in range(256) if c not in shown]] = 256 + np.arange(256 - len(shown))
+    out[0] = 32
+    return out
+
+
+_VISIBLE = _visible()
 
 
 class PieceEncoder:
@@ -38,6 +61,9 @@ class PieceEncoder:
         self.keep, self.longest = keep, longest
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.model = Tokenizer.from_file(path).model
+        self.model._resize_cache(0)  # words are met once
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         (self.newline,) = self._encode(["\n"])
         self.first = np.zeros(65_536, bool)  # ids that start a piece
@@ -64,30 +90,77 @@ class PieceEncoder:
             out += [raw[a:b] for a, b in zip((2 * at).tolist(), ends, strict=True)]
         return out
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces of Latin letters."""
+        text = "\0".join([w[1:] if w[0] == "\n" else " " + w for w in words])
+        shown = _VISIBLE[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le").split(" ")
+        newline, out = self.newline.tobytes(), []
+        for w, c in zip(words, shown, strict=True):
+            b = array("H", [t.id for t in self.model.tokenize(c)]).tobytes()
+            out.append(newline + b if w[0] == "\n" else b)
+        return out
+
+    def _encode_marks(self, marks: str) -> bytes:
+        b = self.marks.get(marks)
+        if b is None:
+            b = self._encode([marks])[0].tobytes()
+            if len(marks) <= self.longest and len(self.marks) < 20_000:
+                self.marks[marks] = b
+        return b
+
+    def _encode_fresh(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of pieces that the memo lacks, None for those that are not plain; the memo takes the plain ones."""
+        out: list[bytes | None] = [None] * len(pieces)
+        words, others = [], []
+        for k, p in enumerate(pieces):
+            (words if _WORD(p) else others).append(k)
+        # the memo holds plain pieces only
+        plain = pc.match_substring_regex(pa.array([pieces[k] for k in others], pa.large_string()), _PLAIN).to_pylist()
+        others = [k for k, yes in zip(others, plain, strict=True) if yes]
+        for which, encode in ((words, self._encode_words), (others, self._encode_plain)):
+            if which:
+                for k, b in zip(which, encode([pieces[k] for k in which]), strict=True):
+                    out[k] = b
+                    if len(pieces[k]) <= self.longest:
+                        self.new[pieces[k]] = b
+        return out
+
     def _look_up(self, distinct: pa.Array) -> tuple[list[str], list[bytes], np.ndarray]:
         """The distinct pieces, their ids (none if odd) and which of them are odd."""
         pieces = distinct.to_numpy(zero_copy_only=False).tolist()
-        got = list(map(self.new.get, pieces))
-        fresh = []
+        new, old = self.new, self.old
+        got = list(map(new.get, pieces))
+        fresh: dict[str, bytes | None] = {}
+        waiting = []  # place, what is to be encoded, and the marks after it
         for k in [k for k, b in enumerate(got) if b is None]:
-            b = self.old.get(pieces[k])
+            p, marks = pieces[k], ""
+            b = old.get(p)
+            if b is None:
+                stem = p.rstrip(_MARKS)
+                if len(stem) < len(p) and stem and _STEM_END(stem[-1]):
+                    p, marks = stem, p[len(stem) :]
+                    b = new.get(p)
+                    if b is None:
+                        b = old.get(p)
+                        if b is not None:
+                            new[p] = b
+            else:
+                new[p] = b
             if b is None:
-                fresh.append(k)
+                fresh[p] = None
+                waiting.append((k, p, marks))
             else:
-                got[k] = self.new[pieces[k]] = b
+                got[k] = b + self._encode_marks(marks) if marks else b
         odd = np.zeros(len(pieces), bool)
         if fresh:
-            # the memo holds plain pieces only
-            plain = pc.match_substring_regex(distinct.take(pa.array(fresh)), _PLAIN).to_numpy(zero_copy_only=False)
-            at = np.array(fresh)
-            odd[at[~plain]] = True
-            for k in at[~plain].tolist():
-                got[k] = b""
-            fresh = at[plain].tolist()
-            for k, b in zip(fresh, self._encode_plain([pieces[k] for k in fresh]), strict=True):
-                got[k] = b
-                if len(pieces[k]) <= self.longest:
-                    self.new[pieces[k]] = b
+            fresh = dict(zip(fresh, self._encode_fresh(list(fresh)), strict=True))
+            for k, p, marks in waiting:
+                b = fresh[p]
+                if b is None:
+                    odd[k] = True
+                    got[k] = b""
+                else:
+                    got[k] = b + self._encode_marks(marks) if marks else b
         if len(self.new) > self.keep:
             self.old, self.new = self.new, {}
         return pieces, got, odd

@@ -10,7 +10,7 @@ Blocks. Each block of ``BLOCK`` ids starts from reset tables, weights and coder,
 with nothing but the frame's header. Blocks of a frame are coded in lockstep, one NumPy lane each.
 
 Frame (little-endian), one per row of the written table:
-  4 bytes magic ``CGT2``; u32 header length; header (zlib): u64 first start, u32 documents, u32 distinct ids,
+  4 bytes magic ``CGT3``; u32 header length; header (zlib): u64 first start, u32 documents, u32 distinct ids,
   per document i64 doc_id and u64 ids; distinct ids u16 and their frequencies u16 (sum 65536, 0 stands for 65536);
   u32 crc of the header; u32 blocks; then per block u32 ids, u32 crc of the ids (as u32) and the payload, u32 payload words; then the payloads (u32).
 A wrong magic, header or block raises ``CorruptFrame``.
@@ -31,13 +31,16 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import shared_dir, text_or_empty
 
-MAGIC = b"CGT2"
+MAGIC = b"CGT3"
 NO_ID = -(2**63)  # stands for a null doc_id
 BLOCK = 4096
-FRAME_IDS = 8_000_000
-_SLOTS = 12  # bits of a table's index
+FRAME_IDS = 16_000_000
+_SLOTS = 11  # bits of a table's index
 _BOT, _U = np.uint64(1 << 32), np.uint64
 _S16, _S28, _S32, _M28, _M32, _ONE = _U(16), _U(28), _U(32), _U((1 << 28) - 1), _U((1 << 32) - 1), _U(1)
+_W1, _W5, _W12, _W13, _W15, _W16, _W4064, _W4094, _W4096, _ID = (np.uint32(n) for n in (1, 5, 12, 13, 15, 16, 4064, 4094, 4096, 0xFFFF))
+_BOTH1, _BOTH11 = np.uint32(0x10001), np.uint32(0x7FF07FF)
+_STEP, _KEPT, _MOST = np.uint32(1 << 16), np.uint32(2 << 16), np.uint32(3 << 16)  # of confidence
 
 
 class CorruptFrame(ValueError):
@@ -45,42 +48,110 @@ class CorruptFrame(ValueError):
 
 
 class _Model:
-    """Tables of all lanes: the weights for the present step, and their update once the ids are known."""
+    """Tables of all lanes and the coder's ranges: a step is ``predict``, then ``narrow`` once the ids are known.
 
-    def __init__(self, lanes: int):
-        self.t2 = np.full(lanes << _SLOTS, 0xFFFF, np.uint32)
+    Arrays are made once, an operation has one type, and what only few lanes need is done for those.
+    """
+
+    def __init__(self, lanes: int, sym: np.ndarray, f: np.ndarray):
+        self.t2 = np.full(lanes << _SLOTS, 0xFFFF, np.uint32)  # id, and 16 bits up its confidence
         self.t1 = np.full(lanes << _SLOTS, 0xFFFF, np.uint32)
-        self.q2 = np.full(lanes << 5, 1024, np.int32)
-        self.q1 = np.full(lanes << 5, 1024, np.int32)
+        self.q = np.full(lanes << 5, 1024 << 16 | 1024, np.uint32)  # the weights q2, and 16 bits up q1
         self.base = np.arange(lanes, dtype=np.int64) << _SLOTS
-        self.qbase = np.arange(lanes, dtype=np.int64) << 5
-        self.a = np.zeros(lanes, np.uint32)  # last id
-        self.b = np.zeros(lanes, np.uint32)  # the one before
-
-    def predict(self) -> tuple[np.ndarray, ...]:
-        h1 = self.a * np.uint32(2654435761)
-        self.i1 = self.base + (h1 >> np.uint32(32 - _SLOTS))
-        self.i2 = self.base + ((h1 ^ (self.b * np.uint32(2246822519))) * np.uint32(3266489917) >> np.uint32(32 - _SLOTS))
-        self.e2, self.e1 = self.t2.take(self.i2), self.t1.take(self.i1)
-        self.p2, self.p1 = self.e2 & np.uint32(0xFFFF), self.e1 & np.uint32(0xFFFF)
-        self.c2, self.c1 = self.e2 >> np.uint32(16), self.e1 >> np.uint32(16)
-        self.iq = self.qbase + ((self.c2 << np.uint32(3)) + (self.c1 << np.uint32(1)) + (self.p1 == self.p2))
-        self.w2, self.w1 = self.q2.take(self.iq), self.q1.take(self.iq)
+        self.qbase = np.arange(lanes, dtype=np.uint32) << np.uint32(5)
+        self.order0 = np.zeros(65_536, np.uint64)  # share of the ids before it, and 32 bits up its own
+        self.order0[sym] = (np.cumsum(f) - f).astype(np.uint64) | (f.astype(np.uint64) << _S32)
+        self.low, self.rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.h1, self.hb, self.h, self.i1, self.i2, self.iq = (np.zeros(lanes, np.int64) for _ in range(6))
+        self.e1, self.e2, self.p1, self.p2, self.w1, self.w2, self.w, self.a, self.b = (np.zeros(lanes, np.uint32) for _ in range(9))
+        self.f1, self.f2, self.rest, self.r, self.start, self.wide = (np.zeros(lanes, np.uint64) for _ in range(6))
+        self.flag = np.zeros(lanes, bool)
+
+    def predict(self) -> None:
+        """Predictions p2, p1, and the shares of order 2, 1 and 0 (f2, f1, rest; 4096 in all)."""
+        h, a, b = self.h, self.a, self.b
+        np.right_shift(self.h1, 32 - _SLOTS, out=h)
+        np.add(h, self.base, out=self.i1)
+        np.bitwise_xor(self.h1, self.hb, out=h)
+        np.multiply(h, 0x9E3779B1, out=h)
+        np.bitwise_and(h, 0xFFFFFFFF, out=h)
+        np.right_shift(h, 32 - _SLOTS, out=h)
+        np.add(h, self.base, out=self.i2)
+        self.t1.take(self.i1, out=self.e1, mode="clip")
+        self.t2.take(self.i2, out=self.e2, mode="clip")
+        np.bitwise_and(self.e1, _ID, out=self.p1)
+        np.bitwise_and(self.e2, _ID, out=self.p2)
+        np.equal(self.p1, self.p2, out=self.flag)
+        np.copyto(a, self.flag)
+        np.right_shift(self.e1 - self.p1, _W15, out=b)
+        np.bitwise_or(a, b, out=a)
+        np.right_shift(self.e2 - self.p2, _W13, out=b)
+        np.bitwise_or(a, b, out=a)
+        np.bitwise_or(a, self.qbase, out=a)
+        np.copyto(self.iq, a)
+        self.q.take(self.iq, out=self.w, mode="clip")
+        np.bitwise_and(self.w, _ID, out=self.w2)
+        np.right_shift(self.w, _W16, out=self.w1)
         # the weights stay within 32 and 4064 of 4096, so that each of the three shares is 1 at least
-        return self.w2, (((4094 - self.w2) * self.w1) >> 12) + 1
-
-    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """q2 learns from each id, q1 from those that p2 misses; a table replaces a prediction when confidence is out."""
-        most = np.int32(4032)
-        self.q2[self.iq] = self.w2 + ((hit2 * most + 32 - self.w2) >> 5)
-        self.q1[self.iq] = self.w1 + (((hit1 * most + 32 - self.w1) >> 5) * ~hit2)
-        first = x | np.uint32(1 << 16)
-        for t, i, e, c, hit in ((self.t2, self.i2, self.e2, self.c2, hit2), (self.t1, self.i1, self.e1, self.c1, self.p1 == x)):
-            up = e + (np.uint32(1 << 16) * (c < 3))
-            down = np.where(c >= 2, e - np.uint32(1 << 16), first)
-            t[i] = np.where(hit, up, down)
-        self.b = self.a
-        self.a = x
+        np.subtract(_W4094, self.w2, out=a)
+        np.multiply(a, self.w1, out=a)
+        np.right_shift(a, _W12, out=a)
+        np.add(a, _W1, out=a)
+        np.copyto(self.f1, a)
+        np.add(a, self.w2, out=a)
+        np.subtract(_W4096, a, out=a)
+        np.copyto(self.rest, a)
+        np.copyto(self.f2, self.w2)
+
+    def narrow(self, x: np.ndarray) -> np.ndarray:
+        """Narrows the ranges to those of the ids ``x`` (u32), learns them, and returns the lanes with a word to move.
+
+        A range holds the ids of order 0, then p1, then p2, which is taken where both are right.
+        """
+        k1 = np.flatnonzero(np.equal(self.p1, x, out=self.flag))
+        k2 = np.flatnonzero(np.equal(self.p2, x, out=self.flag))
+        np.copyto(self.h, x)
+        self.order0.take(self.h, out=self.wide, mode="clip")
+        np.bitwise_and(self.wide, _M32, out=self.start)
+        np.right_shift(self.wide, _S32, out=self.wide)
+        np.multiply(self.start, self.rest, out=self.start)
+        np.multiply(self.wide, self.rest, out=self.wide)
+        self.start[k1] = self.rest[k1] << _S16
+        self.wide[k1] = self.f1[k1] << _S16
+        f2 = self.f2[k2]
+        self.start[k2] = (_U(4096) - f2) << _S16
+        self.wide[k2] = f2 << _S16
+        np.right_shift(self.rng, _S28, out=self.r)
+        np.multiply(self.start, self.r, out=self.start)
+        np.add(self.low, self.start, out=self.low)
+        np.multiply(self.wide, self.r, out=self.rng)
+
+        # weights lose a 32nd of what they are above 31, both in one word; right ones gain one of what lacks to 4064.
+        # q2 learns from each id, q1 from those that p2 misses
+        w, w1 = self.w, self.w1[k1]
+        right1, right2 = (w1 + ((_W4064 - w1) >> _W5)) << _W16, w[k2] + ((_W4064 - self.w2[k2]) >> _W5)
+        np.subtract(w, _BOTH1, out=self.a)
+        np.right_shift(self.a, _W5, out=self.a)
+        np.bitwise_and(self.a, _BOTH11, out=self.a)
+        np.subtract(w, self.a, out=w)
+        w[k1] = w[k1] & _ID | right1
+        w[k2] = right2
+        self.q[self.iq] = w
+
+        # a table replaces a prediction when confidence is out
+        first = np.bitwise_or(x, _STEP, out=self.b)
+        for t, i, e, k in ((self.t2, self.i2, self.e2, k2), (self.t1, self.i1, self.e1, k1)):
+            right = np.minimum(e[k] + _STEP, x[k] | _MOST)
+            np.less(e, _KEPT, out=self.flag)
+            np.subtract(e, _STEP, out=e)
+            np.copyto(e, first, where=self.flag)
+            e[k] = right
+            t[i] = e
+        np.multiply(self.h1, 0x85EBCA77, out=self.hb)
+        np.bitwise_and(self.hb, 0xFFFFFFFF, out=self.hb)
+        np.multiply(self.h, 0x9E3779B1, out=self.h1)
+        np.bitwise_and(self.h1, 0xFFFFFFFF, out=self.h1)
+        return np.flatnonzero(np.less(self.rng, _BOT, out=self.flag))
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +167,12 @@ def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sym, f
 
 
-def _settled(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
     """Ranges below 2^32, cut where their ends differ in the upper 32 bits; those of ``low`` may go out then."""
-    end = low + rng
-    return low, np.where((low ^ end) < _BOT, rng, (~low + _ONE) & _M32)
+    apart = np.flatnonzero((low ^ (low + rng)) >= _BOT)
+    if len(apart):
+        rng[apart] = (~low[apart] + _ONE) & _M32
+    return rng
 
 
 def encode_blocks(ids: np.ndarray, sym: np.ndarray, f: np.ndarray) -> list[np.ndarray]:
@@ -108,42 +181,27 @@ def encode_blocks(ids: np.ndarray, sym: np.ndarray, f: np.ndarray) -> list[np.nd
     if not lanes:
         return []
     steps = min(BLOCK, len(ids))
-    grid = np.full(lanes * BLOCK, ids[-1], np.uint32)
+    grid = np.full(lanes * BLOCK, ids[-1], np.uint16)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
-    freq, cum = np.zeros(65_536, np.uint64), np.zeros(65_536, np.uint64)
-    freq[sym] = f
-    cum[sym] = np.cumsum(f) - f
-    m = _Model(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    width = steps
-    out, pos = np.zeros(lanes * width, np.uint32), np.arange(lanes, dtype=np.int64) * width
+    m = _Model(lanes, sym, f)
+    x = np.zeros(lanes, np.uint32)
+    words, owners = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    owner = np.arange(lanes, dtype=np.uint16 if lanes <= 65_536 else np.uint32)
     for step in range(steps):
-        x = grid[step]
-        f0, f1 = m.predict()
-        hit2, p1hit = m.p2 == x, m.p1 == x
-        hit1 = p1hit & ~hit2
-        u0, u1 = f0.astype(np.uint64), f1.astype(np.uint64)
-        rest = _U(4096) - u0 - u1
-        start = np.where(hit2, _U(0), np.where(hit1, u0 << _S16, ((u0 + u1) << _S16) + rest * cum.take(x)))
-        wide = np.where(hit2, u0 << _S16, np.where(hit1, u1 << _S16, rest * freq.take(x)))
-        r = rng >> _S28
-        low += r * start
-        rng = r * wide
-        m.update(x, hit2, hit1)
-        go = np.flatnonzero(rng < _BOT)
+        m.predict()
+        np.copyto(x, grid[step])
+        go = m.narrow(x)
         if len(go):
-            lo, ra = _settled(low[go], rng[go])
-            at = pos[go]
-            out[at] = lo >> _S32
-            pos[go] = at + 1
-            low[go] = lo << _S32
-            rng[go] = ra << _S32
-    done = []
-    for k in range(lanes):
-        tail = np.array([int(low[k]) >> 32, int(low[k]) & 0xFFFFFFFF], np.uint32)
-        done.append(np.concatenate([out[k * width : pos[k]], tail]))
-    return done
+            lo = m.low[go]
+            words.append((lo >> _S32).astype(np.uint32))
+            owners.append(owner[go])
+            m.rng[go] = _settled(lo, m.rng[go]) << _S32
+            m.low[go] = lo << _S32
+    lane = np.concatenate([*owners[1:], owner, owner])
+    tail = [(m.low >> _S32).astype(np.uint32), m.low.astype(np.uint32)]
+    ordered = np.concatenate([*words[1:], *tail])[np.argsort(lane, kind="stable")]
+    return np.split(ordered, np.cumsum(np.bincount(lane, minlength=lanes))[:-1])
 
 
 def decode_blocks(payloads: list[np.ndarray], sizes: list[int], sym: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -151,47 +209,42 @@ def decode_blocks(payloads: list[np.ndarray], sizes: list[int], sym: np.ndarray,
     if not lanes:
         return np.zeros(0, np.uint32)
     steps = max(sizes)
-    cum = np.zeros(65_536, np.uint64)
-    freq = np.zeros(65_536, np.uint64)
-    freq[sym] = f
-    cum[sym] = np.cumsum(f) - f
     slot = np.repeat(sym.astype(np.uint32), f)
     words = np.concatenate([*payloads, np.zeros(steps + 2, np.uint32)])
     pos = np.cumsum([0, *(len(p) for p in payloads)][:-1]).astype(np.int64)
-    m = _Model(lanes)
-    low, rng, code = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(lanes, np.uint64)
+    m = _Model(lanes, sym, f)
+    code = np.zeros(lanes, np.uint64)
     for _ in range(2):
         code = (code << _S32) | words[pos]
         pos += 1
-    grid = np.zeros((steps, lanes), np.uint32)
+    grid = np.zeros((steps, lanes), np.uint16)
     last = len(words) - 1
+    v, edge = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
+    x, rest, index, flag = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), np.zeros(lanes, np.int64), np.zeros(lanes, bool)
     for step in range(steps):
-        f0, f1 = m.predict()
-        u0, u1 = f0.astype(np.uint64), f1.astype(np.uint64)
-        r = rng >> _S28
-        v = np.minimum((code - low) // r, _M28)
-        top = v >> _S16
-        hit2 = top < u0
-        hit1 = ~hit2 & (top < u0 + u1)
-        rest = _U(4096) - u0 - u1
-        base = (u0 + u1) << _S16
-        other = slot.take(((v - base) // rest).astype(np.int64) & 0xFFFF)  # any, where a prediction was right
-        x = np.where(hit2, m.p2, np.where(hit1, m.p1, other))
-        start = np.where(hit2, _U(0), np.where(hit1, u0 << _S16, base + rest * cum.take(x)))
-        wide = np.where(hit2, u0 << _S16, np.where(hit1, u1 << _S16, rest * freq.take(x)))
-        low += r * start
-        rng = np.maximum(r * wide, _ONE)
-        grid[step] = x
-        m.update(x, hit2, hit1)
-        go = np.flatnonzero(rng < _BOT)
+        m.predict()
+        np.right_shift(m.rng, _S28, out=v)
+        np.subtract(code, m.low, out=edge)
+        np.floor_divide(edge, v, out=v)
+        np.minimum(v, _M28, out=v)
+        np.copyto(x, v, casting="unsafe")
+        np.copyto(rest, m.rest, casting="unsafe")
+        np.floor_divide(x, rest, out=x)
+        np.copyto(index, x)
+        slot.take(index, out=x, mode="clip")  # any, where a prediction was right
+        np.left_shift(m.rest, _S16, out=edge)
+        k = np.flatnonzero(np.greater_equal(v, edge, out=flag))
+        x[k] = np.where(v[k] >> _S16 < _U(4096) - m.f2[k], m.p1[k], m.p2[k])
+        np.copyto(grid[step], x, casting="unsafe")
+        go = m.narrow(x)
         if len(go):
-            lo, ra = _settled(low[go], rng[go])
-            at = pos[go]
+            at, lo = pos[go], m.low[go]
             code[go] = (code[go] << _S32) | words[np.minimum(at, last)]
             pos[go] = at + 1
-            low[go] = lo << _S32
-            rng[go] = ra << _S32
-    return np.concatenate([grid[:n, k] for k, n in enumerate(sizes)])
+            m.rng[go] = _settled(lo, np.maximum(m.rng[go], _ONE)) << _S32
+            m.low[go] = lo << _S32
+    grid = np.ascontiguousarray(grid.T)
+    return np.concatenate([grid[k, :n] for k, n in enumerate(sizes)])
 
 
 def write_frame(docs: list[tuple[int, np.ndarray]], start: int) -> bytes:

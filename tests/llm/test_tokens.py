@@ -157,3 +157,47 @@ def test_a_step_puts_out_one_word_at_most():
     sizes = [min(token_codec.BLOCK, len(ids) - k * token_codec.BLOCK) for k in range(len(words))]
     assert all(p.dtype == np.uint32 and len(p) <= n + 2 for p, n in zip(words, sizes, strict=True))
     assert np.array_equal(token_codec.decode_blocks(words, sizes, sym, f), ids)
+
+
+def test_marks_after_words(tok):
+    """Pieces that end in marks: the library is asked for a stem once, whatever marks follow, and ids are those of whole texts."""
+    enc = bpe.PieceEncoder(public_tokenizers.path(BPE))
+    asked = []
+    for name in ("_encode", "_encode_plain", "_encode_words"):
+        inner = getattr(enc, name, None)
+        if inner:
+            setattr(enc, name, lambda parts, inner=inner: asked.extend(parts) or inner(parts))
+    for text in ("thren edreha", "x thren, edreha.!! thren%%% (thren", "y thren... edreha,\nthren? edreha: thren;"):
+        ids, ends = enc.ids(pa.array([text], pa.string()))
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids and ends.tolist() == [0, len(ids)]
+    assert sum("edreha" in p for p in asked) == 1
+
+    rnd = random.Random(4)
+    stems = ["a", "Über", "don't", "x1", "12", "ſs", "ø", "×", "ª", "Ж", "日本", "é", "", "''", "n'", "'s", "\x00", "Ġ", "o\x01", "　b", "½", "ƀq"]
+    marks = ["", ",", ".", "%%%", "'", "'s", ",'s", "'.", "!?\"", "<|", "\\", "_", "`~", "´", "…", ".\x1c", "|>"]
+    texts = [rnd.choice(["", "\n", "\n\n"]) + "".join(rnd.choice([" ", " ", "\n", "  "]) + rnd.choice(marks[:4]) + rnd.choice(stems) + rnd.choice(marks) for _ in range(rnd.randint(0, 8))) for _ in range(4000)]
+    for keep in (20, 1000):
+        enc = bpe.PieceEncoder(public_tokenizers.path(BPE), keep=keep)
+        for i in range(0, len(texts), 50):
+            part = texts[i : i + 50]
+            ids, ends = enc.ids(pa.array(part, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
+
+
+def test_weights_in_one_word():
+    """Both weights move as they would apart, and stay within 32 and 4064."""
+    rng = np.random.default_rng(5)
+    m = token_codec._Model(1, np.arange(4), np.full(4, 16_384))
+    seen = []
+    for k in range(6000):
+        m.predict()
+        i, w1, w2, p1, p2 = int(m.iq[0]), int(m.w1[0]), int(m.w2[0]), int(m.p1[0]), int(m.p2[0])
+        assert int(m.f1[0] + m.f2[0] + m.rest[0]) == 4096 and min(m.f1[0], m.f2[0], m.rest[0]) >= 1
+        x = k % 4 if k % 2000 < 1500 else int(rng.integers(4))
+        m.rng[:] = 2**64 - 1
+        m.narrow(np.array([x], np.uint32))
+        q1, q2 = int(m.q[i]) >> 16, int(m.q[i]) & 0xFFFF
+        assert q2 == (w2 + ((4064 - w2) >> 5) if x == p2 else w2 - ((w2 - 1) >> 5))
+        assert q1 == (w1 if x == p2 else w1 + ((4064 - w1) >> 5) if x == p1 else w1 - ((w1 - 1) >> 5))
+        seen += [q1, q2]
+    assert min(seen) >= 32 and max(seen) <= 4064
