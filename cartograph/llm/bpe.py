@@ -198,17 +198,22 @@ class PieceEncoder:
         ends = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         ends = ends - ends[0]
+        del lists
         at = coded.indices.to_numpy(zero_copy_only=False)
         pieces, values, is_odd = self._look_up(coded.dictionary)
         odd = is_odd[at]
         odd[ends[:-1]] = False  # the empty piece before a text
         if odd.any():
             at = self._stretches(at, odd, ends, pieces, values)
-        lens = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        lens = np.fromiter(map(len, values), np.int32, len(values)) // 2
         pool = np.frombuffer(b"".join(values), np.uint16)
         size = lens[at]
-        before = np.concatenate([[0], np.cumsum(size)])
-        ids = pool[np.repeat((np.cumsum(lens) - lens)[at] - before[:-1], size) + np.arange(before[-1])]
+        before = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        small = np.int32 if max(before[-1], len(pool)) < 2**31 else np.int64
+        place = np.repeat((np.cumsum(lens, dtype=small) - lens)[at] - before[:-1].astype(small), size)
+        place += np.arange(before[-1], dtype=small)
+        ids = pool.take(place, mode="clip")
+        del place, size
         starts = before[ends]
         keep = np.ones(len(ids), bool)
         keep[starts[:-1]] = False

@@ -35,6 +35,7 @@ MAGIC = b"CGT3"
 NO_ID = -(2**63)  # stands for a null doc_id
 BLOCK = 4096
 FRAME_IDS = 16_000_000
+SLICE = 8_000_000  # bytes of text encoded at once; distinct pieces grow less than that
 _SLOTS = 11  # bits of a table's index
 _BOT, _U = np.uint64(1 << 32), np.uint64
 _S16, _S28, _S32, _M28, _M32, _ONE = _U(16), _U(28), _U(32), _U((1 << 28) - 1), _U((1 << 32) - 1), _U(1)
@@ -323,7 +324,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
         for batch in batches:
             if batch.num_rows:
                 state["file"] = batch.column(2)[0].as_py()
-            for part in bpe.slices(batch, 1):
+            for part in bpe.slices(batch, 1, SLICE):
                 ids, ends = enc.ids(part.column(1))
                 for doc, lo, hi in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     a = np.full(hi - lo + 1, end_id, "<u2")
